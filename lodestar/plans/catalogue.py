@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lodestar.plans import log_queries  # noqa: F401  registers its queries
+from lodestar.plans.tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
