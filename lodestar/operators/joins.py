@@ -33,7 +33,7 @@ def _prefixes(df: DataFrame, threshold: float, df_counts: DataFrame) -> DataFram
     order = F.array_sort(F.collect_list(F.struct("df", "g")))
     ordered = flat.join(df_counts, "g").groupBy("_id", "_n").agg(order.alias("_o"))
     keep = F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1
-    return ordered.select("_id", "_n", F.explode(F.slice("_o", F.lit(1), keep.cast("int")))["g"].alias("g"))
+    return ordered.select("_id", "_n", F.explode(F.slice("_o", F.lit(1), keep.cast("int"))).alias("_e")).select("_id", "_n", "_e.g")
 
 
 def similar_pairs(df: DataFrame, text: str = "name", threshold: float = 0.8, key: str = "id", strict: bool = True) -> DataFrame:

@@ -217,7 +217,7 @@ def hybrid_search(semantic: DataFrame, text: DataFrame, weights: tuple[float, fl
     b = text.select("query_id", "item_id", F.col("score").alias("_b"))
     both = a.join(b, ["query_id", "item_id"], "full_outer")
     score = weights[0] * F.coalesce("_a", F.lit(0.0)) + weights[1] * F.coalesce("_b", F.lit(0.0))
-    return top(both.select("query_id", "item_id", F.round(score, 6).alias("score")), ["query_id"], by_score(), n)
+    return top(both.select("query_id", "item_id", F.round(score, 8).alias("score")), ["query_id"], by_score(), n)
 
 
 def rrf(left: DataFrame, right: DataFrame, k: int = RRF_K, dual_boost: float = DUAL_BOOST) -> DataFrame:

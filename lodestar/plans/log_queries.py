@@ -145,11 +145,11 @@ def reformulations(spark, sf_dir):
 @query(with_(LOG) + """, s AS (SELECT id, session, ts, result_count FROM log WHERE item IS NULL), c AS (SELECT session, ts, position FROM log WHERE item IS NOT NULL),
 m AS (SELECT c.session, c.ts, c.position, (SELECT arg_max(s.id, (s.ts, s.id)) FROM s WHERE s.session = c.session AND s.ts <= c.ts) AS of_ FROM c),
 g AS (SELECT of_, count(*) AS n, arg_min(position, (ts, position)) AS p FROM m WHERE of_ IS NOT NULL GROUP BY 1)
-SELECT id, session, CAST(coalesce(n, 0) AS BIGINT) AS click_count, CAST(p AS INT) AS first_click_position FROM s LEFT JOIN g ON id = of_""".replace("\n, s", ", s", 1))
+SELECT id, session, CAST(coalesce(n, 0) AS BIGINT) AS click_count, CAST(coalesce(p, 0) AS BIGINT) AS first_click_position FROM s LEFT JOIN g ON id = of_""".replace("\n, s", ", s", 1))
 def click_attribution(spark, sf_dir):
     rows = log(spark, sf_dir)
     searches = rows.where("item IS NULL").select("id", "session", "ts", "result_count")
-    return A.attribute_clicks(searches, rows.where("item IS NOT NULL").select("session", "ts", "position")).select("id", "session", F.col("click_count").cast("long").alias("click_count"), "first_click_position")
+    return A.attribute_clicks(searches, rows.where("item IS NOT NULL").select("session", "ts", "position")).select("id", "session", F.col("click_count").cast("long").alias("click_count"), F.coalesce(F.col("first_click_position").cast("long"), F.lit(0)).alias("first_click_position"))
 
 
 @query(with_(LOG) + """, m AS (SELECT id, position AS first_click_position, result_count, coalesce(epoch_us(lead(ts) OVER (PARTITION BY session ORDER BY ts, id)) - epoch_us(ts) <= 30 * 60000000, false) AS reformulated FROM log)
