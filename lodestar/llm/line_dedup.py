@@ -5,8 +5,8 @@ with each other exactly: words in order of rarity, prefix filter, size and posit
 verification of the Jaccard similarity on whole sets. A line is removed if an earlier line has an equal set or one of at
 least the threshold's similarity.
 
-A word is its 54-bit hash below 9 bits of rarity (a logarithm of how often its hash bucket occurs in the whole table; the
-bucket table has a fixed size), so that arrays of words sort by rarity and shuffle as numbers. Any common order makes the
+A word is its 54-bit hash, sorted below 9 bits of rarity (a logarithm of how often its hash bucket occurs in the whole table;
+the bucket table has a fixed size), so that words sort by rarity and shuffle as numbers. Any common order makes the
 prefix filter exact; rarity makes it fast. Sets are known by two 64-bit hashes.
 
 Defined results: one row per row; blank lines are never duplicates and always stay; a null text stays null and has no lines;
@@ -24,8 +24,9 @@ THRESHOLD = 0.8
 RARITY_BITS, FILTER_BITS = 18, 24
 
 
-def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+def _plain(text: Column) -> Column:
+    """A text with ASCII white space other than line ends as spaces; most texts have none and stay as they are."""
+    return F.when(text.rlike(r"[\t\x0B\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
 def _bit(number: Column) -> Column:
@@ -43,19 +44,18 @@ def _table(counts: DataFrame, bits: int, value: Column, kind: str, label: str) -
 
 
 def _rarity(texts: DataFrame, bits: int) -> DataFrame:
-    words = texts.select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(1 << bits)).alias("slot")).agg(F.count("*").alias("n"))
+    words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(F.count("*").alias("n"))
     return _table(counts, bits, F.coalesce(F.least(F.lit(511), F.floor(F.log2(F.col("n") + 1.0) * 8)), F.lit(0)), "smallint", "line-rarity")
 
 
-def _sets(lines: DataFrame, rarity: Column, bits: int) -> DataFrame:
-    """Lines with their words as sorted numbers, and the hashes of the set."""
-    hashed = F.transform(F.array_distinct(_words(F.col("line"))), lambda w: F.xxhash64(w))
-    number = F.transform(hashed, lambda h: F.shiftleft(F.get(F.col("_rarity"), F.pmod(h, F.lit(1 << bits)).cast("int")).cast("long"), 54).bitwiseOR(h.bitwiseAND(F.lit((1 << 54) - 1))))
-    # The table is one value that the plan reads once; as a column it may stand inside a lambda.
-    keyed = lines.withColumn("_rarity", rarity).select(*lines.columns, F.array_sort(number).alias("keys")).where(F.size("keys") > 0)
-    parity = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(_bit(k)))
-    return keyed.withColumn("sig", F.xxhash64("keys")).withColumn("bits", parity)
+def _lines(texts: DataFrame) -> DataFrame:
+    """(doc_id, line_no, words): the distinct words of each line with a word, as 54-bit hashes."""
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    low = F.lit((1 << 54) - 1)
+    hashed = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w).bitwiseAND(low)))
+    words = F.array_remove(hashed, F.xxhash64(F.lit("")).bitwiseAND(low))
+    return lines.where(F.trim("line") != "").select("doc_id", "line_no", words.alias("words"))
 
 
 def similar_lines(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: int = RARITY_BITS) -> tuple[DataFrame, DataFrame]:
@@ -63,17 +63,22 @@ def similar_lines(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: i
 
     Pairs hold (sig, bits) of both sides; the first side's first place is the earlier one.
     """
+    texts = texts.select("doc_id", _plain(F.col("text")).alias("text"))
     rarity = _rarity(texts, rarity_bits).scalar()
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    sets = _sets(lines, rarity, rarity_bits)
-    n = F.size("keys")
+    lines = _lines(texts)
+    n = F.size("words")
+    zero = F.lit(0).cast("long")
+    sig = F.aggregate("words", zero, lambda a, w: a.bitwiseXOR(F.xxhash64(w)))
+    parity = F.aggregate("words", zero, lambda a, w: a.bitwiseXOR(_bit(w)))
+    # The table is one value that the plan reads once; as a column it may stand inside a lambda.
+    ordered = F.sort_array(F.transform("words", lambda w: F.shiftleft(F.get(F.col("_rarity"), w.bitwiseAND(F.lit((1 << rarity_bits) - 1)).cast("int")).cast("long"), 54).bitwiseOR(w)))
     # A smaller set has no different set within the threshold.
-    part = F.slice("keys", 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
-    prefix = F.when(n >= threshold / (1 - threshold) - 1e-9, part).otherwise(F.array().cast("array<bigint>"))
-    distinct = sets.select("sig", "bits", n.alias("n"), F.transform(prefix, lambda k: k.bitwiseXOR(F.shiftright(k, 31)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"), F.struct("doc_id", "line_no").alias("at"))
-    distinct = staged(distinct.groupBy("sig", "bits", "n").agg(F.min("at").alias("at"), F.first("prefix").alias("prefix")), "line-sets")
+    part = F.transform(F.slice(ordered, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1), lambda k: k.bitwiseXOR(F.shiftright(k, 31)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    prefix = F.when(n >= threshold / (1 - threshold) - 1e-9, part).otherwise(F.array().cast("array<int>"))
+    keyed = lines.withColumn("_rarity", rarity).select(sig.alias("sig"), parity.alias("bits"), n.alias("n"), prefix.alias("prefix"), F.struct("doc_id", "line_no").alias("at"))
+    distinct = staged(keyed.groupBy("sig", "bits", "n").agg(F.min("at").alias("at"), F.first("prefix").alias("prefix")), "line-sets")
 
-    post = distinct.select("sig", "bits", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("p", "word"))
+    post = distinct.select("sig", "bits", "n", F.posexplode("prefix").alias("p", "word"))
     x, y = (post.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "bits", "n", "p"))) for k in "xy")
     total = F.col("n_x") + F.col("n_y")
     need = F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
@@ -82,18 +87,21 @@ def similar_lines(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: i
     fits &= F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= total - 2 * need
     pairs = staged(x.join(y, "word").where(fits).select("sig_x", "bits_x", "sig_y", "bits_y").distinct(), "line-pairs")
 
-    # Only lines that may belong to a pair are cut into words again: a bit table of fixed size says which.
-    ids = pairs.select(F.explode(F.array("sig_x", "sig_y")).alias("sig"))
+    # Only the lines of candidate sets are cut into words again: a bit table of fixed size says which documents hold some.
+    ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"sig_{k}").alias("sig"), F.col(f"bits_{k}").alias("bits")) for k in "xy"))).alias("s")).select("s.sig", "s.bits").distinct()
+    wanted = staged(distinct.select("sig", "bits", "at").join(ids, ["sig", "bits"]), "line-wanted")
     word_bits = FILTER_BITS - 6
-    marks = ids.groupBy(F.pmod(F.shiftright("sig", 6), F.lit(1 << word_bits)).alias("slot")).agg(F.bit_or(_bit(F.col("sig"))).alias("m"))
+    mark = F.xxhash64("doc_id")
+    slot = F.shiftright(mark, 6).bitwiseAND(F.lit((1 << word_bits) - 1))
+    marks = wanted.select("at.doc_id").distinct().groupBy(slot.alias("slot")).agg(F.bit_or(_bit(mark)).alias("m"))
     marks = _table(marks, word_bits, F.coalesce("m", F.lit(0)), "long", "line-marks").scalar()
-    marked = F.get(marks, F.pmod(F.shiftright("sig", 6), F.lit(1 << word_bits)).cast("int")).bitwiseAND(_bit(F.col("sig"))) != 0
-    whole = sets.where(marked).select("sig", "bits", "keys", F.struct("doc_id", "line_no").alias("at"))
-    whole = staged(whole.groupBy("sig", "bits").agg(F.min("at").alias("at"), F.first("keys").alias("keys")), "line-words")
-    a, b = (whole.select(*(F.col(c).alias(f"{c}_{k}") for c in ("sig", "bits", "at", "keys"))) for k in "xy")
+    some = texts.where(F.get(marks, slot.cast("int")).bitwiseAND(_bit(mark)) != 0)
+    place = wanted.select("sig", "bits", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "at")
+    whole = staged(_lines(some).join(place, ["doc_id", "line_no"]).groupBy("sig", "bits", "at").agg(F.first("words").alias("words")), "line-words")
+    a, b = (whole.select(*(F.col(c).alias(f"{c}_{k}") for c in ("sig", "bits", "at", "words"))) for k in "xy")
     both = pairs.join(b, ["sig_y", "bits_y"]).join(a, ["sig_x", "bits_x"])
-    common = F.size(F.array_intersect("keys_x", "keys_y"))
-    both = both.withColumn("_c", common).where(F.col("_c") >= threshold * (F.size("keys_x") + F.size("keys_y") - F.col("_c")) - 1e-9)
+    common = F.size(F.array_intersect("words_x", "words_y"))
+    both = both.withColumn("_c", common).where(F.col("_c") >= threshold * (F.size("words_x") + F.size("words_y") - F.col("_c")) - 1e-9)
     x_first = F.col("at_x") < F.col("at_y")
     first, later = (F.when(x_first if w == "first" else ~x_first, F.struct(F.col("sig_x").alias("sig"), F.col("bits_x").alias("bits"))).otherwise(F.struct(F.col("sig_y").alias("sig"), F.col("bits_y").alias("bits"))) for w in ("first", "later"))
     return distinct.drop("prefix"), both.select(first.alias("first"), later.alias("later"))

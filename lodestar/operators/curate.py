@@ -331,7 +331,7 @@ def apply_requests(items: DataFrame, requests: DataFrame, allowed: list[str], no
     off = F.when(F.col("change_type") == "deactivate", False).otherwise(F.col("is_active"))
     after = j.select(*(value(c).alias(c) if c in allowed else off.alias(c) if c == "is_active" else F.when(F.col("_k").isNotNull(), now).otherwise(F.col(c)).alias(c) if c == "last_updated" else F.col(c) for c in items.columns))
     new = pending.where("change_type = 'create'").select(*(F.col("proposed")[f].cast(items.schema[f].dataType).alias(f) for f in allowed), F.lit(True).alias("is_active"))
-    done = requests.withColumn("status", F.when(F.col("status") == "pending", "approved").otherwise(F.col("status"))).withColumn("reviewed_at", F.when(requests["status"] == "pending", now))
+    done = requests.withColumn("reviewed_at", F.when(F.col("status") == "pending", now)).withColumn("status", F.when(F.col("status") == "pending", "approved").otherwise(F.col("status")))
     return after.unionByName(new, allowMissingColumns=True), done
 
 
