@@ -211,6 +211,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     """Documents without all but the first of each class; of repeated rows one stays."""
     classes = staged(near_duplicates(docs, doc_id=doc_id, text=text, **options), "near-result")
     gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    left = docs.join(gone, (docs[doc_id] == F.col("_id")) & (F.md5(docs[text]) == F.col("_digest")), "left_anti")
+    left = docs.join(gone, (docs[doc_id] == gone["_id"]) & (F.md5(docs[text]) == gone["_digest"]), "left_anti")
     repeated = docs.groupBy(doc_id).count().where(F.col("count") > 1).where(F.col(doc_id).isNotNull())
     return left.dropDuplicates([doc_id, text]) if repeated.head(1) else left
