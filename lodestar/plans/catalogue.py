@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.plans import item_queries, log_queries, rank_queries  # noqa: F401  each registers its queries
+from lodestar.plans import curation_queries, item_queries, log_queries, rank_queries  # noqa: F401  each registers its queries
 from lodestar.plans.tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
