@@ -449,9 +449,9 @@ def generic_steps(spark, sf_dir):
     return items(spark, sf_dir).select("id", E.has_generic_steps(steps).alias("generic"))
 
 
-@query("SELECT doc_id, regexp_matches(coalesce(text, ''), '\\b(low[- ]income|income (limit|test|threshold)|financial need)\\b', 'i') AS income_tested, concat_ws(',', CASE WHEN regexp_matches(text, '\\bthe\\b', 'i') THEN 'the' END, CASE WHEN regexp_matches(text, '\\bund\\b', 'i') THEN 'und' END) AS populations FROM documents")
+@query("SELECT doc_id, regexp_matches(coalesce(text, ''), '\\b(low[- ]income|income (limit|test|threshold)|financial need)\\b', 'i') AS income_tested, concat_ws(',', CASE WHEN regexp_matches(text, 'the ', 'i') THEN 'the' END, CASE WHEN regexp_matches(text, ' und ', 'i') THEN 'und' END) AS populations FROM documents")
 def eligibility_facts(spark, sf_dir):
-    got = PG.extract_eligibility(table(spark, sf_dir, "documents"), [("the", r"\bthe\b"), ("und", r"\bund\b")], [], [])
+    got = PG.extract_eligibility(table(spark, sf_dir, "documents"), [("the", "the "), ("und", " und ")], [], [])
     return got.select("doc_id", "income_tested", F.array_join("populations", ",").alias("populations"))
 
 
