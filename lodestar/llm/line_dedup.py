@@ -16,7 +16,7 @@ gives an empty result; lines of any length are compared whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.llm.common import WORD, staged
 
@@ -58,75 +58,114 @@ def _lines(texts: DataFrame) -> DataFrame:
     return lines.where(F.trim("line") != "").select("doc_id", "line_no", words.alias("words"))
 
 
-def similar_lines(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: int = RARITY_BITS) -> tuple[DataFrame, DataFrame]:
-    """For a frame (doc_id, text): the distinct sets (sig, bits, n, at = first place) and the verified pairs (first, later).
+def _slot(number: Column, bits: int) -> Column:
+    return F.shiftright(number, 6).bitwiseAND(F.lit((1 << (bits - 6)) - 1))
 
-    Pairs hold (sig, bits) of both sides; the first side's first place is the earlier one.
-    """
-    texts = texts.select("doc_id", _plain(F.col("text")).alias("text"))
+
+def _bit_table(numbers: DataFrame, number: Column, bits: int, label: str) -> DataFrame:
+    """One row with a bit table of fixed size that holds some numbers; others may seem to be in it, none is missed."""
+    marks = numbers.groupBy(_slot(number, bits).alias("slot")).agg(F.bit_or(_bit(number)).alias("m"))
+    return _table(marks, bits - 6, F.coalesce("m", F.lit(0)), "long", label)
+
+
+def _in_table(table: DataFrame, number: Column, bits: int) -> Column:
+    return F.get(table.scalar(), _slot(number, bits).cast("int")).bitwiseAND(_bit(number)) != 0
+
+
+def _sets(texts: DataFrame, threshold: float, rarity_bits: int) -> DataFrame:
+    """The distinct sets (sig, bits, n, doc_id, line_no = first place, prefix = rarest words that a similar set must share)."""
     rarity = _rarity(texts, rarity_bits).scalar()
-    lines = _lines(texts)
     n = F.size("words")
-    zero = F.lit(0).cast("long")
-    sig = F.aggregate("words", zero, lambda a, w: a.bitwiseXOR(F.xxhash64(w)))
-    parity = F.aggregate("words", zero, lambda a, w: a.bitwiseXOR(_bit(w)))
-    # The table is one value that the plan reads once; as a column it may stand inside a lambda.
-    ordered = F.sort_array(F.transform("words", lambda w: F.shiftleft(F.get(F.col("_rarity"), w.bitwiseAND(F.lit((1 << rarity_bits) - 1)).cast("int")).cast("long"), 54).bitwiseOR(w)))
+    parity = F.aggregate("words", F.lit(0), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1), w.bitwiseAND(F.lit(31)).cast("int"))))
+    rank = lambda w: F.shiftleft(F.get(F.col("_rarity"), w.bitwiseAND(F.lit((1 << rarity_bits) - 1)).cast("int")).cast("long"), 54).bitwiseOR(w)
+    rows = _lines(texts).select(F.struct("doc_id", "line_no").alias("at"), n.alias("n"), parity.alias("bits"), "words")
+    # A subquery may not stand in a lambda, but a column may. Read once and beside plain columns only, the plan folds it into the
+    # lambda, so that the table is one value and not copied with every line.
+    rows = rows.withColumn("_rarity", rarity).select("at", "n", "bits", F.sort_array(F.transform("words", rank)).alias("_o"))
     # A smaller set has no different set within the threshold.
-    part = F.transform(F.slice(ordered, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1), lambda k: k.bitwiseXOR(F.shiftright(k, 31)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    prefix = F.when(n >= threshold / (1 - threshold) - 1e-9, part).otherwise(F.array().cast("array<int>"))
-    keyed = lines.withColumn("_rarity", rarity).select(sig.alias("sig"), parity.alias("bits"), n.alias("n"), prefix.alias("prefix"), F.struct("doc_id", "line_no").alias("at"))
-    distinct = staged(keyed.groupBy("sig", "bits", "n").agg(F.min("at").alias("at"), F.first("prefix").alias("prefix")), "line-sets")
-
-    post = distinct.select("sig", "bits", "n", F.posexplode("prefix").alias("p", "word"))
-    x, y = (post.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "bits", "n", "p"))) for k in "xy")
-    total = F.col("n_x") + F.col("n_y")
+    part = F.transform(F.slice("_o", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1), lambda k: k.bitwiseXOR(F.shiftright(k, 31)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    prefix = F.when(F.col("n") >= threshold / (1 - threshold) - 1e-9, part).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("at", "n", "bits", F.xxhash64("_o").alias("sig"), prefix.alias("prefix"))
+    distinct = rows.groupBy("sig", "bits", "n").agg(F.min("at").alias("at"), F.first("prefix").alias("prefix"))
+    return staged(distinct.select("sig", "bits", "n", "at.doc_id", "at.line_no", "prefix"), "line-sets")
+
+
+def _postings(sets: DataFrame) -> DataFrame:
+    """(word, sig, bits, place, doc_id) of prefix words; words are cut to 31 bits, place holds n and the word's position."""
+    flat = sets.select("sig", "bits", "n", "doc_id", F.posexplode("prefix").alias("p", "word"))
+    return flat.select("word", "sig", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("place"), "doc_id")
+
+
+def _fits(threshold: float) -> Column:
+    """Size, position and parity filters of two different sets x and y that share a prefix word."""
+    n = {k: F.shiftright(F.col(f"place_{k}"), 32) for k in "xy"}
+    p = {k: F.col(f"place_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in "xy"}
+    total = n["x"] + n["y"]
     need = F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
-    fits = ((F.col("sig_x") < F.col("sig_y")) | ((F.col("sig_x") == F.col("sig_y")) & (F.col("bits_x") < F.col("bits_y")))) & (F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y") - 1e-9)
-    fits &= F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) >= need
-    fits &= F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= total - 2 * need
-    pairs = staged(x.join(y, "word").where(fits).select("sig_x", "bits_x", "sig_y", "bits_y").distinct(), "line-pairs")
+    other = (F.col("sig_x") != F.col("sig_y")) | (F.col("bits_x") != F.col("bits_y"))
+    fits = other & (F.least(n["x"], n["y"]) >= threshold * F.greatest(n["x"], n["y"]) - 1e-9)
+    fits &= F.least(n["x"] - p["x"], n["y"] - p["y"]) >= need
+    # As a long without sign, or a set sign bit would count 33 times.
+    differ = F.col("bits_x").bitwiseXOR(F.col("bits_y")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    return fits & (F.bit_count(differ) <= total - 2 * need)
 
-    # Only the lines of candidate sets are cut into words again: a bit table of fixed size says which documents hold some.
+
+def _later(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(sig, bits) of the sets that come later in a verified pair. Only lines of candidate sets are cut into words again."""
+    pairs = staged(pairs.select("sig_x", "bits_x", "sig_y", "bits_y").distinct(), "line-pairs")
     ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"sig_{k}").alias("sig"), F.col(f"bits_{k}").alias("bits")) for k in "xy"))).alias("s")).select("s.sig", "s.bits").distinct()
-    wanted = staged(distinct.select("sig", "bits", "at").join(ids, ["sig", "bits"]), "line-wanted")
-    word_bits = FILTER_BITS - 6
+    wanted = staged(sets.select("sig", "bits", "doc_id", "line_no").join(ids, ["sig", "bits"]), "line-wanted")
     mark = F.xxhash64("doc_id")
-    slot = F.shiftright(mark, 6).bitwiseAND(F.lit((1 << word_bits) - 1))
-    marks = wanted.select("at.doc_id").distinct().groupBy(slot.alias("slot")).agg(F.bit_or(_bit(mark)).alias("m"))
-    marks = _table(marks, word_bits, F.coalesce("m", F.lit(0)), "long", "line-marks").scalar()
-    some = texts.where(F.get(marks, slot.cast("int")).bitwiseAND(_bit(mark)) != 0)
-    place = wanted.select("sig", "bits", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "at")
-    whole = staged(_lines(some).join(place, ["doc_id", "line_no"]).groupBy("sig", "bits", "at").agg(F.first("words").alias("words")), "line-words")
+    marks = _bit_table(wanted.select("doc_id").distinct(), mark, FILTER_BITS, "line-marks")
+    lines = _lines(texts.where(_in_table(marks, mark, FILTER_BITS)))
+    whole = staged(lines.join(wanted, ["doc_id", "line_no"]).select("sig", "bits", "words", F.struct("doc_id", "line_no").alias("at")), "line-whole")
     a, b = (whole.select(*(F.col(c).alias(f"{c}_{k}") for c in ("sig", "bits", "at", "words"))) for k in "xy")
     both = pairs.join(b, ["sig_y", "bits_y"]).join(a, ["sig_x", "bits_x"])
     common = F.size(F.array_intersect("words_x", "words_y"))
     both = both.withColumn("_c", common).where(F.col("_c") >= threshold * (F.size("words_x") + F.size("words_y") - F.col("_c")) - 1e-9)
-    x_first = F.col("at_x") < F.col("at_y")
-    first, later = (F.when(x_first if w == "first" else ~x_first, F.struct(F.col("sig_x").alias("sig"), F.col("bits_x").alias("bits"))).otherwise(F.struct(F.col("sig_y").alias("sig"), F.col("bits_y").alias("bits"))) for w in ("first", "later"))
-    return distinct.drop("prefix"), both.select(first.alias("first"), later.alias("later"))
+    later = F.when(F.col("at_x") < F.col("at_y"), F.struct(F.col("sig_y").alias("sig"), F.col("bits_y").alias("bits"))).otherwise(F.struct(F.col("sig_x").alias("sig"), F.col("bits_x").alias("bits")))
+    return staged(both.select(later.alias("s")).select("s.sig", "s.bits").distinct(), "line-later")
+
+
+def later_sets(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: int = RARITY_BITS) -> tuple[DataFrame, DataFrame]:
+    """For a frame (doc_id, text): the distinct sets, and (sig, bits) of those that an earlier similar set precedes.
+
+    Thousands of variants of one line must not become all their pairs, and one earlier partner is enough. So each word's sets
+    are first compared with those of the word's earliest document; sets that this shows to come later are settled, and only
+    the others are then joined with every set.
+    """
+    texts = texts.select("doc_id", _plain(F.col("text")).alias("text"))
+    sets = _sets(texts, threshold, rarity_bits)
+    columns = ("sig", "bits", "place", "doc_id")
+    order = Window.partitionBy("word").orderBy("doc_id", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    listed = _postings(sets).select("word", *(F.col(c).alias(f"{c}_y") for c in columns), *(F.first(c).over(order).alias(f"{c}_x") for c in columns))
+    settled = _later(listed.where(_fits(threshold)), sets, texts, threshold)
+    x, y = (_postings(part).select("word", *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k, part in (("x", sets), ("y", sets.join(settled, ["sig", "bits"], "left_anti"))))
+    # The set of the earlier document stands on the left; within one document either order may be the right one.
+    rest = x.join(y, "word").where((F.col("doc_id_x") <= F.col("doc_id_y")) & _fits(threshold))
+    return sets, settled.unionByName(_later(rest, sets, texts, threshold)).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, rarity_bits: int = RARITY_BITS, doc_id: str = "doc_id", text: str = "text", keep_columns: bool = False) -> DataFrame:
-    """(doc_id, text, n_lines, n_kept, n_links) of every row, or with ``keep_columns`` the rows with their new text.
+    """(doc_id, text, n_lines, n_kept, n_first, n_near) of every row, or with ``keep_columns`` the rows with their new text.
 
-    n_lines and n_kept count lines with a word; n_links counts the pairs of similar, different sets in which the later one
-    first stands in the document. With ``keep_columns`` documents that lose all their lines go.
+    All counts are of lines with a word: n_first are the first of their set, of which n_near have a similar earlier set and go
+    as well. With ``keep_columns`` documents that lose all their lines go.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
-    sets, pairs = similar_lines(rows, threshold, rarity_bits)
-    later = pairs.groupBy("later").agg(F.count("*").alias("links")).select(F.col("later.sig").alias("sig"), F.col("later.bits").alias("bits"), "links")
-    place = sets.join(later, ["sig", "bits"], "left").groupBy(F.col("at.doc_id").alias("_id"))
-    kept = place.agg(F.array_sort(F.collect_list(F.when(F.col("links").isNull(), F.col("at.line_no")))).alias("_kept"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
-    both = docs.join(kept, docs[doc_id] == F.col("_id"), "left")
+    sets, later = later_sets(rows, threshold, rarity_bits)
+    judged = sets.select("sig", "bits", F.col("doc_id").alias("_id"), "line_no").join(later.withColumn("_later", F.lit(True)), ["sig", "bits"], "left")
+    kept = judged.groupBy("_id").agg(F.array_sort(F.collect_list(F.when(F.col("_later").isNull(), F.col("line_no")))).alias("_kept"), F.count("*").alias("_first"))
+    both = docs.join(kept, docs[doc_id] == kept["_id"], "left")
     split = F.split(docs[text], "\n")
     worded = F.filter(split, lambda line: line.rlike(WORD))
-    have = F.coalesce("_kept", F.array().cast("array<int>"))
+    have = F.coalesce(kept["_kept"], F.array().cast("array<int>"))
     stay = F.filter(split, lambda line, i: ~line.rlike(WORD) | F.array_contains(have, i))
-    new = F.when(docs[doc_id].isNull(), docs[text]).when(F.size(worded) == F.size(have), docs[text]).otherwise(F.array_join(stay, "\n"))
+    new = F.when(docs[doc_id].isNull() | (F.size(worded) == F.size(have)), docs[text]).otherwise(F.array_join(stay, "\n"))
     if keep_columns:
-        alive = docs[doc_id].isNull() | docs[text].isNull() | (F.size(have) > 0) | (F.size(worded) == 0)
+        alive = docs[doc_id].isNull() | docs[text].isNull() | (F.size(have) > 0) | ~docs[text].rlike(WORD)
         return both.where(alive).select(*(new.alias(c) if c == text else docs[c] for c in docs.columns))
     n_lines = F.coalesce(F.size(worded), F.lit(0)).cast("long")
     n_kept = F.when(docs[doc_id].isNull(), n_lines).otherwise(F.size(have).cast("long"))
-    return both.select(docs[doc_id].alias("doc_id"), new.alias("text"), n_lines.alias("n_lines"), n_kept.alias("n_kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    n_first = F.when(docs[doc_id].isNull(), n_lines).otherwise(F.coalesce(kept["_first"], F.lit(0)).cast("long"))
+    return both.select(docs[doc_id].alias("doc_id"), new.alias("text"), n_lines.alias("n_lines"), n_kept.alias("n_kept"), n_first.alias("n_first"), (n_first - n_kept).alias("n_near"))
