@@ -6,6 +6,7 @@ each operator first selects the columns it reads, so extra columns of its input
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -54,9 +55,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
+    """Write a frame to the shared folder and read it again: lineage ends here, and a lost executor loses nothing.
+
+    Shuffle files of finished jobs stay until the driver collects its garbage, which may be long; it is asked to.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
