@@ -27,6 +27,8 @@ BUCKETS = 4096
 ORDERS = (1, 2, 3)
 #: Code points and texts that share one matrix.
 CHUNK_CHARS, CHUNK_TEXTS = 2_000_000, 512
+#: Languages whose sizes are sent to all tasks; more are joined by shuffle.
+MAX_BROADCAST_LANGS = 10_000
 RESULT = "lang_pred string, score double, rejected boolean"
 
 
@@ -127,7 +129,8 @@ def fit(docs: DataFrame, clusters: int = 3, per_lang: int = 1000, slack: float =
     rows = rows.where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("_id")))
     share = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sizes = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
-    near = rows.join(sizes, "_lang").where(share < F.lit(2.0 * per_lang) / F.col("_n"))
+    few = sizes.count() <= MAX_BROADCAST_LANGS
+    near = rows.join(F.broadcast(sizes) if few else sizes, "_lang").where(share < F.lit(2.0 * per_lang) / F.col("_n"))
     pick = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", "_text")
     sample = staged(near.withColumn("_k", F.row_number().over(pick)).where(F.col("_k") <= per_lang).select("_lang", "_text"), "language-sample")
 
