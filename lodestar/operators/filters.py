@@ -46,7 +46,7 @@ class Listing:
 
 
 def list_items(df: DataFrame, spec: Listing, semi: DataFrame | None = None, on: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(page, total): conjunctive filters, one sort column with null order of PostgreSQL, offset paging, and the number of rows."""
+    """(page, total): conjunctive filters, one sort column (descending puts nulls first), offset paging, and the number of rows."""
     conditions = [F.col(c).eqNullSafe(F.lit(v)) for c, v in spec.equal.items()]
     conditions += [contains(c, v) for c, v in spec.like.items()]
     conditions += [F.col(c).isNotNull() if there else F.col(c).isNull() for c, there in spec.filled.items()]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.common import blank, contains
 from lodestar.functions.geo import format_distance
-from lodestar.functions.text import format_phone, org_key, slug, truncate_text
+from lodestar.functions.text import format_phone, org_key, truncate_text
 from lodestar.operators import analytics as A, curate as E, filters as FL, joins as J, projections as P
 from lodestar.plans.tables import ITEMS, LOG, items, log, now, query, table, with_
 from lodestar.sources import writers as S
