@@ -60,6 +60,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), w AS (SELECT doc_id, line_no, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS ws FROM l
+), num AS (
+  SELECT row_number() OVER () AS id, ws, len(ws) AS n, at_ FROM (SELECT ws, min({'d': doc_id, 'l': line_no}) AS at_ FROM w WHERE len(ws) > 0 GROUP BY ws)
+), e AS (SELECT id, n, at_, unnest(ws) AS word FROM num
+), p AS (
+  SELECT id, n, at_, word, row_number() OVER (PARTITION BY id ORDER BY df, word) AS k FROM e JOIN (SELECT word, count(*) AS df FROM e GROUP BY 1) USING (word)
+), pre AS (SELECT * FROM p WHERE n >= 4 AND k <= n - ceil(0.8 * n - 1e-9) + 1
+), c AS (
+  SELECT DISTINCT x.id AS a, y.id AS b FROM pre x JOIN pre y ON x.word = y.word AND x.at_ < y.at_ AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9
+), later AS (
+  SELECT DISTINCT b FROM (SELECT b, x.n + y.n AS t, len(list_intersect(x.ws, y.ws)) AS i FROM c JOIN num x ON x.id = a JOIN num y ON y.id = b) WHERE i >= 0.8 * (t - i) - 1e-9
+), first_ AS (SELECT at_.d AS doc_id, at_.l AS line_no, id NOT IN (SELECT b FROM later) AS kept FROM num
+), j AS (SELECT w.*, f.kept FROM w LEFT JOIN first_ f USING (doc_id, line_no)
+), g AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) FILTER (len(ws) = 0 OR kept) AS text, count(*) FILTER (len(ws) > 0) AS n_lines, count(*) FILTER (kept) AS n_kept, count(kept) AS n_first
+  FROM j GROUP BY 1
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL OR d.doc_id IS NULL THEN d.text ELSE coalesce(g.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, coalesce(n_first, 0) AS n_first, coalesce(n_first - n_kept, 0) AS n_near
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+""",
     "op10_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
