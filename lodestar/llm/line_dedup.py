@@ -76,7 +76,7 @@ def _sets(texts: DataFrame, threshold: float, rarity_bits: int) -> DataFrame:
     """The distinct sets (sig, bits, n, doc_id, line_no = first place, prefix = rarest words that a similar set must share)."""
     rarity = _rarity(texts, rarity_bits).scalar()
     n = F.size("words")
-    parity = F.aggregate("words", F.lit(0), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1), w.bitwiseAND(F.lit(31)).cast("int"))))
+    parity = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(_bit(w)))
     rank = lambda w: F.shiftleft(F.get(F.col("_rarity"), w.bitwiseAND(F.lit((1 << rarity_bits) - 1)).cast("int")).cast("long"), 54).bitwiseOR(w)
     rows = _lines(texts).select(F.struct("doc_id", "line_no").alias("at"), n.alias("n"), parity.alias("bits"), "words")
     # A subquery may not stand in a lambda, but a column may. Read once and beside plain columns only, the plan folds it into the
@@ -90,10 +90,10 @@ def _sets(texts: DataFrame, threshold: float, rarity_bits: int) -> DataFrame:
     return staged(distinct.select("sig", "bits", "n", "at.doc_id", "at.line_no", "prefix"), "line-sets")
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """(word, sig, bits, place, doc_id) of prefix words; words are cut to 31 bits, place holds n and the word's position."""
-    flat = sets.select("sig", "bits", "n", "doc_id", F.posexplode("prefix").alias("p", "word"))
-    return flat.select("word", "sig", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("place"), "doc_id")
+def _postings(sets: DataFrame, *more: str) -> DataFrame:
+    """(word, sig, bits, place, more) of prefix words; words are cut to 31 bits, place holds n and the word's position."""
+    flat = sets.select("sig", "bits", "n", *more, F.posexplode("prefix").alias("p", "word"))
+    return flat.select("word", "sig", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("place"), *more)
 
 
 def _fits(threshold: float) -> Column:
@@ -105,9 +105,7 @@ def _fits(threshold: float) -> Column:
     other = (F.col("sig_x") != F.col("sig_y")) | (F.col("bits_x") != F.col("bits_y"))
     fits = other & (F.least(n["x"], n["y"]) >= threshold * F.greatest(n["x"], n["y"]) - 1e-9)
     fits &= F.least(n["x"] - p["x"], n["y"] - p["y"]) >= need
-    # As a long without sign, or a set sign bit would count 33 times.
-    differ = F.col("bits_x").bitwiseXOR(F.col("bits_y")).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    return fits & (F.bit_count(differ) <= total - 2 * need)
+    return fits & (F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= total - 2 * need)
 
 
 def _later(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -138,11 +136,14 @@ def later_sets(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: int
     sets = _sets(texts, threshold, rarity_bits)
     columns = ("sig", "bits", "place", "doc_id")
     order = Window.partitionBy("word").orderBy("doc_id", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    listed = _postings(sets).select("word", *(F.col(c).alias(f"{c}_y") for c in columns), *(F.first(c).over(order).alias(f"{c}_x") for c in columns))
+    listed = _postings(sets, "doc_id").select("word", *(F.col(c).alias(f"{c}_y") for c in columns), *(F.first(c).over(order).alias(f"{c}_x") for c in columns))
     settled = _later(listed.where(_fits(threshold)), sets, texts, threshold)
-    x, y = (_postings(part).select("word", *(F.col(c).alias(f"{c}_{k}") for c in columns)) for k, part in (("x", sets), ("y", sets.join(settled, ["sig", "bits"], "left_anti"))))
-    # The set of the earlier document stands on the left; within one document either order may be the right one.
-    rest = x.join(y, "word").where((F.col("doc_id_x") <= F.col("doc_id_y")) & _fits(threshold))
+    # One frame stands on both sides, so that its shuffle is written once; a pair of two open sets counts in one order only.
+    marked = sets.join(settled.withColumn("_settled", F.lit(True)), ["sig", "bits"], "left").withColumn("open", F.col("_settled").isNull())
+    post = _postings(marked, "open")
+    x, y = (post.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "bits", "place", "open"))) for k in "xy")
+    once = F.col("open_y") & (~F.col("open_x") | (F.col("sig_x") < F.col("sig_y")) | ((F.col("sig_x") == F.col("sig_y")) & (F.col("bits_x") < F.col("bits_y"))))
+    rest = x.join(y, "word").where(once & _fits(threshold))
     return sets, settled.unionByName(_later(rest, sets, texts, threshold)).distinct()
 
 
