@@ -8,7 +8,7 @@
    its tokens: text pieces of valid classes are template text, and what lies between template tags are slots.
 3. A page's slots are extracted by reading it again: slots inside menus, headers, footers, sidebars, notices, adverts, forms,
    scripts, styles and reader comments go. If the page marks its article (``article`` or ``main``), the slots in it are the text.
-   Otherwise the element with most text that is not template text is the article, and template text is left out.
+   Otherwise all slots that are left are the text, wherever they stand, and template text is left out.
 
 Blocks are joined in page order by one space; white space inside a block becomes one space; references are decoded.
 
@@ -142,18 +142,7 @@ def main_text(page: str | None, template: frozenset[int] | set[int] = frozenset(
     if any(t.article and not t.out for t in texts):
         chosen = [t.article and not t.out for t in texts]
     else:
-        free = [not t.out and not (t.text.strip() and _text_token(t) in template) for t in texts]
-        load: Counter = Counter()
-        for t, f in zip(texts, free, strict=True):
-            if f:
-                for element in t.path[:-1] if t.path and t.path[-1][0] in ("p", "h1", "h2", "h3", "h4", "li", "b", "i", "a", "em", "strong", "span", "blockquote") else t.path:
-                    load[element] += len(t.text)
-        total = sum(len(t.text) for t, f in zip(texts, free, strict=True) if f)
-        # The deepest element that still holds nine tenths of the free text.
-        depth = {e: i for t in texts for i, e in enumerate(t.path)}
-        holders = [e for e, n in load.items() if n >= 0.9 * total]
-        top = max(holders, key=lambda e: (depth[e], load[e])) if holders else None
-        chosen = [f and (top is None or top in t.path) for t, f in zip(texts, free, strict=True)]
+        chosen = [not t.out and not (t.text.strip() and _text_token(t) in template) for t in texts]
     blocks: list[str] = []
     broken = True
     for t, c in zip(texts, chosen, strict=True):

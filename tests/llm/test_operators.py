@@ -383,6 +383,12 @@ def test_main_text_odd_cases(spark):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_keeps_text_beside_the_longest_element():
+    page, long = main_text.main_text, "long body " * 200
+    assert page(f"<body><h1>Title</h1><div>{long}</div><p>end</body>") == f"Title {long.strip()} end"
+    assert page(f"<body><p>lead</p><table><tr><td><p>{long}</p></td></tr></table><div class='menu'>m</div></body>") == f"lead {long.strip()}"
+
+
 def test_template_classes(spark):
     rows = [(i, "http://h.test/", f"<nav><a>Home</a><a>News</a></nav><p>{i}</p>") for i in range(4)]
     found = main_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
