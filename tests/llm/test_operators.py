@@ -389,6 +389,25 @@ def test_main_text_keeps_text_beside_the_longest_element():
     assert page(f"<body><p>lead</p><table><tr><td><p>{long}</p></td></tr></table><div class='menu'>m</div></body>") == f"lead {long.strip()}"
 
 
+def test_template_slots_of_pages_with_and_without_marks(spark):
+    def html_(i, tag):
+        at = "<p>Now and then</p>"  # in the frame's last slot on page 0, in the slot before it on the others: no role holds half of six pages
+        first, last = (at, "") if i % 3 == 0 else ("", at) if i % 3 == 1 else ("", "")
+        return f"<body><{tag}><h1>Title {i}</h1>{first}<p>Read <b>more</b> of us</p>{last}<p>own {i} text</p><p>Share</p></{tag}></body>"
+
+    rows = [(10 * k + i, f"http://{tag}.test/{i}", html_(i, tag)) for k, tag in enumerate(("article", "div")) for i in range(6)]
+    # Repeated rows are one page: the text of an article copied five times is no template.
+    rows += [(50 + i, "http://copy.test/", "<article><h1>Same</h1><p>Copied text</p></article>") for i in range(5)]
+    # Two boxes in changing order break the frame; they are template text of their slots only where half of the pages agree.
+    rows += [(60 + i, "http://order.test/", f"<body><p>{'A</p><p>B' if i else 'B</p><p>A'}</p><h2>{i}</h2></body>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for wide in (200_000, 0):
+        got = {r.page_id: r.text for r in main_text.extract(df, max_broadcast=wide).collect()}
+        for k in (0, 10):
+            assert [got[k + i] for i in range(3)] == ["Title 0 Now and then own 0 text", "Title 1 Now and then own 1 text", "Title 2 own 2 text"]
+        assert {got[50 + i] for i in range(5)} == {"Same Copied text"} and got[62] == "2" and got[60].endswith("0") and len(got) == len(rows)
+
+
 def test_template_classes(spark):
     rows = [(i, "http://h.test/", f"<nav><a>Home</a><a>News</a></nav><p>{i}</p>") for i in range(4)]
     found = main_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
