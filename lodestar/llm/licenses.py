@@ -3,7 +3,8 @@
 A word that occurs once in the text and once in the template is an anchor; the longest increasing subsequence of anchors is
 kept, and the gaps between them are aligned in the same way, where words that repeat over the whole text may be unique again.
 Gaps without anchors match equal words at their ends. Coverage is the share of the template's words that are aligned. A text
-holds a license if coverage reaches the threshold and the aligned stretch of text is not much longer than the template.
+holds a license if coverage reaches the threshold and the aligned stretch of text is not much longer than the template. Windows
+of that length are aligned one by one, so that a notice that stands twice, or stray words beside it, make no word ambiguous.
 
 A template needs at least its threshold's share of words in the text, so texts that lack them are left out before alignment;
 this loses nothing. Templates are few and given by the caller (``TEMPLATES`` by default); each text lies whole in one task.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -122,6 +124,46 @@ def windows(text: list[str], template: list[str], threshold: float) -> list[tupl
     return out
 
 
+def in_order(text: list[str], template: list[str]) -> Iterator[int]:
+    """Length of the longest common subsequence, which no alignment exceeds, after each word; a number's bits are template places."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << i
+    every = v = (1 << len(template)) - 1
+    for w in text:
+        m = places.get(w, 0)
+        v = (v + (v & m) | v & ~m) & every
+        yield len(template) - v.bit_count()
+
+
+def align(text: list[str], template: list[str], threshold: float) -> tuple[int, int, int] | None:
+    """(aligned words, first, last) of the best aligned window of a stretch, then the first; None below the threshold.
+
+    Every window that begins and ends with a word of the template, is not too long and has words enough is aligned by itself, so a
+    repeated notice or stray words beside it hide nothing. Windows with most words in order come first; none aligns more.
+    """
+    least, limit, known = threshold * len(template) - 1e-9, max(len(template), int(STRETCH * len(template))), set(template)
+    starts = [i for i, w in enumerate(text) if w in known]
+    best: tuple[int, int, int] | None = None
+    target = max(in_order(text, template), default=0)
+    while target >= least and (best is None or -best[0] <= target):
+        for start in starts:
+            if best and -best[0] >= target and start > best[1]:
+                break
+            for end, common in enumerate(in_order(text[start : start + limit], template), start):
+                if common > target:
+                    break
+                if common == target and text[end] in known:
+                    pairs = patience(text[start : end + 1], template)
+                    if len(pairs) >= least:
+                        found = (-len(pairs), start + pairs[0][0], start + pairs[-1][0])
+                        best = min(best, found) if best else found
+                        if len(pairs) >= target:
+                            break
+        target -= 1
+    return best and (-best[0], best[1], best[2])
+
+
 def scan(text: str | None, templates: dict[str, list[str]], threshold: float = THRESHOLD) -> tuple:
     """The best covered template of a whole text: RESULT as a tuple."""
     own, best = words(text), None
@@ -130,12 +172,10 @@ def scan(text: str | None, templates: dict[str, list[str]], threshold: float = T
         if sum(min(n, have[w]) for w, n in Counter(template).items()) < threshold * len(template) - 1e-9:
             continue
         for first, last in windows(own, template, threshold):
-            aligned = patience(own[first : last + 1], template)
-            coverage = len(aligned) / len(template)
-            if coverage < threshold - 1e-9 or aligned[-1][0] - aligned[0][0] >= STRETCH * len(template):
-                continue
-            found = (-coverage, -len(template), name, first + aligned[0][0], first + aligned[-1][0], len(aligned))
-            best = min(best, found) if best else found
+            if aligned := align(own[first : last + 1], template, threshold):
+                n, start, end = aligned
+                found = (-n / len(template), -len(template), name, first + start, first + end, n)
+                best = min(best, found) if best else found
     return (None, 0.0, 0, None, None) if best is None else (best[2], -best[0], best[5], best[3], best[4])
 
 

@@ -361,6 +361,28 @@ def test_patience_and_licenses(spark, odd, empty):
     assert o.count() == 6 and o.where("license IS NOT NULL").count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_repeated_notices_equal_brute_force():
+    templates = {k: licenses.words(v) for k, v in licenses.TEMPLATES.items()}
+    mit = licenses.TEMPLATES["MIT"]
+    assert licenses.scan(f"the {mit} {mit} the", templates) == ("MIT", 1.0, 5, 1, 5)
+    assert licenses.scan(f"under {mit}\n{mit}\n{mit} by under the", templates)[0::3] == ("MIT", 1)
+    long = licenses.TEMPLATES["MIT-long"]
+    assert licenses.scan(f"the {long} of {long} the", templates)[:3] == ("MIT-long", 1.0, len(templates["MIT-long"]))
+    rng = np.random.default_rng(3)
+    template = templates["MIT"]
+    for _ in range(300):
+        text = [w for _ in range(4) for w in [*rng.choice([*template, "x"], rng.integers(0, 4)), *(template if rng.random() < 0.5 else rng.permutation(template))]]
+        assert max(licenses.in_order(text, template)) == max(len([0 for _ in c]) for n in range(6) for c in itertools.combinations(template, n) if (it := iter(text)) and all(w in it for w in c))
+        best = None
+        for i in range(len(text)):
+            for j in range(i, min(i + 10, len(text))):
+                if len(p := licenses.patience(text[i : j + 1], template)) >= 4:
+                    found = (-len(p), i + p[0][0])
+                    best = min(best, found) if best else found
+        got = licenses.scan(" ".join(text), {"MIT": template})
+        assert (got[0], got[2], got[3]) == (("MIT", -best[0], best[1]) if best else (None, 0, None))
+
+
 def test_main_text_of_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in main_text.extract(pages).collect()}
