@@ -12,41 +12,57 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.common import any_of, blank, blank_array, contains, matches, top, true, upsert
 from lodestar.functions.text import digits, first_filled, format_phone, slug
+from lodestar.operators.joins import _prefixes as prefixes
 
 MERGED = ("description", "eligibility", "contact", "phone", "email", "address", "website_url", "hours_of_operation")
 SKIP, CREATE, ENRICH = "skipped", "created", "enriched"
 
 
 def lcs_ratio(a: str, b: str) -> float:
-    """Twice the matched characters of longest common blocks, over both lengths."""
-    from difflib import SequenceMatcher
-
-    return SequenceMatcher(None, a, b).ratio()
+    """Twice the length of the longest common subsequence over both lengths; bits of a number are the places of a."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every = v = (1 << len(a)) - 1
+    for c in b:
+        m = places.get(c, 0)
+        v = (v + (v & m) | v & ~m) & every
+    return 2.0 * (len(a) - v.bit_count()) / (len(a) + len(b)) if a or b else 1.0
 
 
 def match_entities(raw: DataFrame, items: DataFrame, threshold: float = 0.85, key: str = "id") -> DataFrame:
     """(raw_id, item_id, similarity): exact service id, else the active item with the most similar name above the threshold.
 
-    Names are blocked by their words' first three letters; the best match wins, then the least id.
+    The best match wins, then the least id. Equal names are joined. The others are compared if they can pass: a common subsequence is
+    no longer than what both names share of their numbered characters (the first "a", the second "a" and so on), so names above the
+    threshold share one of the rarest of these and lie in a band of lengths. No pair above the threshold is left out.
     """
     live = items.where(true(F.col("is_active")))
     exact = raw.where(~blank("service_id")).join(live.select("service_id", F.col(key).alias("item_id")), "service_id").groupBy("raw_id").agg(F.min("item_id").alias("item_id")).withColumn("similarity", F.lit(1.0))
     rest = raw.join(exact.select("raw_id"), "raw_id", "left_anti").select("raw_id", F.lower(F.trim("name")).alias("_n")).where(~blank("_n"))
+    own = live.select(F.col(key).alias("item_id"), F.lower(F.trim("name")).alias("_m")).where(~blank("_m")).groupBy("_m").agg(F.min("item_id").alias("item_id"))
+    same = rest.join(own.withColumnRenamed("_m", "_n"), "_n").select("raw_id", "item_id", F.lit(1.0).alias("similarity"))
+    wanted = rest.select("_n").distinct().join(own.select(F.col("_m").alias("_n")), "_n", "left_anti")
 
-    def blocks(df: DataFrame, name: str, *keep: str) -> DataFrame:
-        heads = F.array_distinct(F.transform(F.filter(F.split(name, r"\s+"), lambda w: w != ""), lambda w: F.substring(w, 1, 3)))
-        return df.select(*keep, F.col(name), F.explode(heads).alias("_b"))
+    def numbered(name: str) -> Column:
+        chars = F.regexp_extract_all(name, F.lit("(?s)(.)"), F.lit(1))
+        return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))))
 
-    own = live.select(F.col(key).alias("item_id"), F.lower(F.trim("name")).alias("_m"))
-    near = (F.least(F.length("_n"), F.length("_m")) * 2.0 / (F.length("_n") + F.length("_m"))) > threshold
-    pairs = blocks(rest, "_n", "raw_id").join(blocks(own, "_m", "item_id"), "_b").where(near).select("raw_id", "item_id", "_n", "_m").distinct()
+    jaccard = threshold / (2 - threshold)
+    names = wanted.select(F.col("_n").alias("_id"), numbered("_n").alias("_t")), own.select(F.col("_m").alias("_id"), numbered("_m").alias("_t"))
+    counts = names[0].unionByName(names[1]).select(F.explode("_t").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    x, y = (prefixes(n, jaccard, counts).select("g", "_id", "_n") for n in names)
+    x = x.select("g", F.col("_id").alias("_a"), F.explode(F.sequence(F.ceil(jaccard * F.col("_n") - 1e-9).cast("int"), F.floor(F.col("_n") / jaccard + 1e-9).cast("int"))).alias("_n"))
+    pairs = x.join(y.withColumnRenamed("_id", "_m"), ["g", "_n"]).select("_a", "_m").distinct()
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)])
+        return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    scored = pairs.withColumn("similarity", ratio("_n", "_m")).where(F.col("similarity") > threshold)
-    best = scored.groupBy("raw_id").agg(F.max_by(F.struct("item_id", "similarity"), F.struct("similarity", -F.col("item_id"))).alias("_b")).select("raw_id", "_b.*")
+    scored = pairs.withColumn("similarity", ratio("_a", "_m")).where(F.col("similarity") > threshold).join(own, "_m")
+    best = scored.groupBy("_a").agg(F.max_by(F.struct("item_id", "similarity"), F.struct("similarity", -F.col("item_id"))).alias("_b"))
+    best = rest.join(best, F.col("_n") == F.col("_a")).select("raw_id", "_b.*").unionByName(same)
+    best = best.groupBy("raw_id").agg(F.max_by(F.struct("item_id", "similarity"), F.struct("similarity", -F.col("item_id"))).alias("_b")).select("raw_id", "_b.*")
     return exact.unionByName(best)
 
 

@@ -23,6 +23,39 @@ def test_match_entities(spark, rows):
     assert rows(E.match_entities(raw, i), "raw_id", "item_id") == [(1, 1), (2, 2)]
 
 
+def test_match_entities_equals_brute_force(spark, rows):
+    import itertools
+    import random
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(row[j] + 1 if c == d else max(row[j + 1], new[-1]))
+            row = new
+        return 2.0 * row[-1] / (len(a) + len(b))
+
+    rng = random.Random(7)
+    names = ["hospice", "calgary", "lethbridge", "ywca-calgary", "foodbank", "Ünal House", "a", "aaaaaaaa", "food bank of the north", "north food bank", "hospice"]
+    typos = ["hopsice", "clagary", "elthbridge", "wyca-calgary", "f oodbank", "nüal house", "aaaaaaa", "b", "calgary"]
+    for n in names:
+        for _ in range(6):
+            t = list(n.lower())
+            for _ in range(rng.randint(1, 2)):
+                k = rng.randrange(len(t))
+                t[k : k + 1] = rng.choice([[], ["x"], [t[k], t[k]], t[k : k + 2][::-1]])
+            typos.append("".join(t))
+    i = items(spark, *((k, n, None, None, None, None, 1, True) for k, n in enumerate(names))).withColumn("service_id", F.lit(None).cast("string"))
+    raw = spark.createDataFrame([(k, None, n) for k, n in enumerate(typos)], "raw_id int, service_id string, name string")
+    want = {}
+    for (k, a), (j, b) in itertools.product(enumerate(typos), enumerate(names)):
+        if a.strip() and (r := ratio(a.strip(), b.lower())) > 0.85:
+            want[k] = max(want.get(k, (0, 0)), (r, -j))
+    assert {0, 1, 2, 3, 4} <= want.keys()
+    assert rows(E.match_entities(raw, i), "raw_id", "item_id", "similarity") == sorted(((k, -j, r) for k, (r, j) in want.items()), key=repr)
+
+
 def test_resolve_upsert_direct(spark, rows):
     i = items(spark, (1, "A", None, "1", None, "h1", 50, True), (2, "B", "d", "1", "e", "h2", 50, True))
     raw = spark.createDataFrame([(1, "a ", "new", "9", None, "h9"), (2, "B", "x", "x", "x", "h3"), (3, "C", "c", None, None, None), (4, "c", "again", None, None, None), (5, " ", None, None, None, None), (6, "A", "dup", None, None, "h1")], "raw_id int, name string, description string, phone string, email string, page_hash string")
