@@ -6,10 +6,10 @@ each operator first selects the columns it reads, so extra columns of its input
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,7 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACES = " \t\n\x0b\x0c\r"
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where staged frames lie.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def n_words(text: Column) -> Column:
@@ -57,13 +59,27 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage ends here, and a lost executor loses nothing.
 
-    Shuffle files of finished jobs stay until the driver collects its garbage, which may be long; it is asked to.
+    The shuffle files of the write go with it, as nothing else reads them.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of staged frames that nothing will read any more."""
+    for df in frames:
+        if path := _PATHS.pop(df, None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def components(links: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -83,7 +99,8 @@ def components(links: DataFrame, label: str = "components", max_rounds: int = 60
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = staged(small.where("u <> v").distinct(), label)
+        last, edges = edges, staged(small.where("u <> v").distinct(), label)
+        release(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

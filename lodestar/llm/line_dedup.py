@@ -1,27 +1,36 @@
 """Line deduplication by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words. Lines of equal sets are folded to their first place (id, line number). The sets are joined
-with each other exactly: words in order of rarity, prefix filter, size and positional filters, a bit-parity filter, then
+A line is the set of its words. Lines of equal sets are folded to their first place (document, line number). The sets are
+joined with each other exactly: words in order of rarity, prefix filter, size and positional filters, a bit-parity filter, then
 verification of the Jaccard similarity on whole sets. A line is removed if an earlier line has an equal set or one of at
 least the threshold's similarity.
 
-A word is its 54-bit hash, sorted below 9 bits of rarity (a logarithm of how often its hash bucket occurs in the whole table;
+A word is its 55-bit hash, sorted below 7 bits of rarity (a logarithm of how often its hash bucket occurs in the whole table;
 the bucket table has a fixed size), so that words sort by rarity and shuffle as numbers. Any common order makes the
-prefix filter exact; rarity makes it fast. Sets are known by two 64-bit hashes.
+prefix filter exact; rarity makes it fast.
 
-Defined results: one row per row; blank lines are never duplicates and always stay; a null text stays null and has no lines;
-rows with equal ids and texts are one document whose lines are repeated within it (they keep equal texts); an empty table
-gives an empty result; lines of any length are compared whole.
+Thousands of variants of one line must not become all their pairs, and one earlier partner is enough. So sets first meet the
+earliest set of two small buckets (``keys``: the least and greatest hashes of their rarer half), in ``rounds`` in which those
+that no hub has settled choose the next hub. Only sets that this leaves open are joined with all sets by their prefixes.
+
+Defined results: one row per row; a document is an id with a text, so texts under one id are told apart, and rows equal in both
+are one document whose lines are repeated within it (they keep equal texts); blank lines are never duplicates and always
+stay; a null text stays null and has no lines; rows with a null id stay as they are and are compared with nothing; an empty
+table gives an empty result; lines of any length are compared whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestar.llm.common import WORD, staged
+from lodestar.llm.common import WORD, release, staged
 
 THRESHOLD = 0.8
 RARITY_BITS, FILTER_BITS = 18, 24
+#: Sets of so many words or more have 256 parity bits, smaller ones 64.
+WIDE = 96
+PARITY = ("bits", "bits_1", "bits_2", "bits_3")
+_HASH = (1 << 55) - 1
 
 
 def _plain(text: Column) -> Column:
@@ -46,16 +55,18 @@ def _table(counts: DataFrame, bits: int, value: Column, kind: str, label: str) -
 def _rarity(texts: DataFrame, bits: int) -> DataFrame:
     words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(F.count("*").alias("n"))
-    return _table(counts, bits, F.coalesce(F.least(F.lit(511), F.floor(F.log2(F.col("n") + 1.0) * 8)), F.lit(0)), "smallint", "line-rarity")
+    value = F.coalesce(F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1.0) * 3)), F.lit(0)).cast("long")
+    return _table(counts, bits, F.shiftleft(value, 55), "long", "line-rarity")
+
+
+def _hashed(line: Column) -> Column:
+    """The distinct words of a line as hashes."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_HASH)))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")).bitwiseAND(F.lit(_HASH)))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """(doc_id, line_no, words): the distinct words of each line with a word, as 54-bit hashes."""
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    low = F.lit((1 << 54) - 1)
-    hashed = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w).bitwiseAND(low)))
-    words = F.array_remove(hashed, F.xxhash64(F.lit("")).bitwiseAND(low))
-    return lines.where(F.trim("line") != "").select("doc_id", "line_no", words.alias("words"))
+    return texts.select("doc_id", "digest", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _slot(number: Column, bits: int) -> Column:
@@ -72,79 +83,127 @@ def _in_table(table: DataFrame, number: Column, bits: int) -> Column:
     return F.get(table.scalar(), _slot(number, bits).cast("int")).bitwiseAND(_bit(number)) != 0
 
 
+def _keys(rarer: Column) -> Column:
+    """Two bucket keys: the least and greatest word by all bits of the hash, and by its low bits."""
+    whole = F.transform(rarer, lambda k: k.bitwiseAND(F.lit(_HASH)))
+    low = F.transform(rarer, lambda k: k.bitwiseAND(F.lit((1 << 27) - 1)))
+    return F.array(*(F.xxhash64(F.lit(i), F.array_min(x), F.array_max(x)) for i, x in enumerate((whole, low))))
+
+
+def _parity(words: Column, n: Column) -> list[Column]:
+    """The parity of a set's words by six bits of their hashes; of a large set also those of three of four classes of its words."""
+
+    def of(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(_bit(w)))
+
+    def part(k: int) -> Column:
+        return F.when(n >= WIDE, of(F.filter(words, lambda w: w.bitwiseAND(F.lit(192)) == 64 * k))).otherwise(F.lit(0).cast("long"))
+
+    return [of(words).alias("bits"), *(part(k).alias(f"bits_{k}") for k in (1, 2, 3))]
+
+
+def _may_differ_by(most: Column) -> Column:
+    """Whether parities allow that at most so many words are in one of the sets x and y only."""
+    all_, *parts = (F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y")) for c in PARITY)
+    rest = all_
+    for p in parts:
+        rest = rest.bitwiseXOR(p)
+    fine = F.bit_count(rest) + sum((F.bit_count(p) for p in parts), F.lit(0)) <= most
+    return (F.bit_count(all_) <= most) & ((F.least("n_x", "n_y") < WIDE) | fine)
+
+
 def _sets(texts: DataFrame, threshold: float, rarity_bits: int) -> DataFrame:
-    """The distinct sets (sig, bits, n, doc_id, line_no = first place, prefix = rarest words that a similar set must share)."""
-    rarity = _rarity(texts, rarity_bits).scalar()
+    """The distinct sets (set, n, PARITY, doc_id, digest, line_no = first place, prefix = rarest words that a similar set must share, keys)."""
+    rarity = _rarity(texts, rarity_bits)
     n = F.size("words")
-    parity = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(_bit(w)))
-    rank = lambda w: F.shiftleft(F.get(F.col("_rarity"), w.bitwiseAND(F.lit((1 << rarity_bits) - 1)).cast("int")).cast("long"), 54).bitwiseOR(w)
-    rows = _lines(texts).select(F.struct("doc_id", "line_no").alias("at"), n.alias("n"), parity.alias("bits"), "words")
+    rank = lambda w: F.coalesce(F.get(F.col("_rarity"), w.bitwiseAND(F.lit((1 << rarity_bits) - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(w)
+    rows = _lines(texts).select(F.struct("doc_id", "digest", "line_no").alias("at"), _hashed(F.col("line")).alias("words")).where(F.size("words") > 0)
     # A subquery may not stand in a lambda, but a column may. Read once and beside plain columns only, the plan folds it into the
     # lambda, so that the table is one value and not copied with every line.
-    rows = rows.withColumn("_rarity", rarity).select("at", "n", "bits", F.sort_array(F.transform("words", rank)).alias("_o"))
+    rows = rows.select("at", "words", n.alias("n"), *_parity(F.col("words"), n), rarity.scalar().alias("_rarity"))
+    rows = rows.select("at", "n", *PARITY, F.sort_array(F.transform("words", rank)).alias("_o"))
     # A smaller set has no different set within the threshold.
+    able = F.col("n") >= threshold / (1 - threshold) - 1e-9
     part = F.transform(F.slice("_o", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1), lambda k: k.bitwiseXOR(F.shiftright(k, 31)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    prefix = F.when(F.col("n") >= threshold / (1 - threshold) - 1e-9, part).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("at", "n", "bits", F.xxhash64("_o").alias("sig"), prefix.alias("prefix"))
-    distinct = rows.groupBy("sig", "bits", "n").agg(F.min("at").alias("at"), F.first("prefix").alias("prefix"))
-    return staged(distinct.select("sig", "bits", "n", "at.doc_id", "at.line_no", "prefix"), "line-sets")
-
-
-def _postings(sets: DataFrame, *more: str) -> DataFrame:
-    """(word, sig, bits, place, more) of prefix words; words are cut to 31 bits, place holds n and the word's position."""
-    flat = sets.select("sig", "bits", "n", *more, F.posexplode("prefix").alias("p", "word"))
-    return flat.select("word", "sig", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long")).alias("place"), *more)
-
-
-def _fits(threshold: float) -> Column:
-    """Size, position and parity filters of two different sets x and y that share a prefix word."""
-    n = {k: F.shiftright(F.col(f"place_{k}"), 32) for k in "xy"}
-    p = {k: F.col(f"place_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in "xy"}
+    prefix = F.when(able, part).otherwise(F.array().cast("array<int>"))
+    keys = F.when(able, _keys(F.slice("_o", 1, F.floor((F.col("n") + 1) / 2).cast("int")))).otherwise(F.array().cast("array<long>"))
+    rows = rows.select("at", "n", F.xxhash64("_o").alias("sig"), *PARITY, prefix.alias("prefix"), keys.alias("keys"))
+    distinct = rows.groupBy("sig", "n", *PARITY).agg(F.min("at").alias("at"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys"))
+    out = staged(distinct.select(F.monotonically_increasing_id().alias("set"), "n", *PARITY, "at.doc_id", "at.digest", "at.line_no", "prefix", "keys"), "line-sets")
+    release(rarity)
+    return out
+
+
+def _fits(threshold: float, position: bool) -> Column:
+    """Size, position and parity filters of two sets x and y."""
+    n = {k: F.col(f"n_{k}") for k in "xy"}
     total = n["x"] + n["y"]
     need = F.ceil(total * (threshold / (1 + threshold)) - 1e-9)
-    other = (F.col("sig_x") != F.col("sig_y")) | (F.col("bits_x") != F.col("bits_y"))
-    fits = other & (F.least(n["x"], n["y"]) >= threshold * F.greatest(n["x"], n["y"]) - 1e-9)
-    fits &= F.least(n["x"] - p["x"], n["y"] - p["y"]) >= need
-    return fits & (F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= total - 2 * need)
+    fits = F.least(n["x"], n["y"]) >= threshold * F.greatest(n["x"], n["y"]) - 1e-9
+    if position:
+        fits &= F.least(n["x"] - F.col("p_x"), n["y"] - F.col("p_y")) >= need
+    return fits & _may_differ_by(total - 2 * need)
+
+
+def _hub_pairs(sets: DataFrame, threshold: float, rounds: int) -> DataFrame:
+    """(set_x, set_y): sets y with the earliest set x of a bucket that they may be similar to, round by round."""
+    filters = ("set", "n", *PARITY)
+    rows = sets.select(F.explode("keys").alias("key"), F.struct("doc_id", "digest", "line_no").alias("at"), *filters)
+    several = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    rows, found = staged(rows.join(several, "key"), "line-buckets"), None
+    for k in range(rounds):
+        hubs = rows.groupBy("key").agg(F.min(F.struct("at", *(F.col(c).alias(f"{c}_x") for c in filters))).alias("_hub"), F.count("*").alias("_n")).where("_n > 1")
+        pairs = rows.select("key", *(F.col(c).alias(f"{c}_y") for c in filters)).join(hubs.select("key", "_hub.*"), "key")
+        pairs = staged(pairs.where((F.col("set_x") != F.col("set_y")) & _fits(threshold, False)).select("set_x", "set_y").distinct(), "line-hub-pairs")
+        found = pairs if found is None else found.unionByName(pairs)
+        if k + 1 < rounds:
+            done = pairs.select(F.col("set_y").alias("set")).unionByName(hubs.select(F.col("_hub.set_x").alias("set"))).distinct()
+            last, rows = rows, staged(rows.join(done, "set", "left_anti"), "line-buckets")
+            release(last)
+    release(rows)
+    return found
+
+
+def _prefix_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+    """(set_x, set_y) of sets that share a prefix word and pass the filters; y or both are open."""
+    marked = sets.join(settled.withColumn("_settled", F.lit(1)), "set", "left").withColumn("open", F.col("_settled").isNull())
+    post = marked.select("set", "n", *PARITY, "open", F.posexplode("prefix").alias("p", "word"))
+    # One frame stands on both sides, so that its shuffle is written once; a pair of two open sets counts in one order only.
+    post = post.select("word", "set", *PARITY, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("p", 1).cast("long")).bitwiseOR(F.col("open").cast("long")).alias("place"))
+    place = lambda k: F.col(f"place_{k}")
+    sides = {k: post.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("set", *PARITY, "place"))) for k in "xy"}
+    parts = {f"{name}_{k}": value for k in "xy" for name, value in (("n", F.shiftright(place(k), 32)), ("p", F.shiftright(place(k).bitwiseAND(F.lit(0xFFFFFFFF)), 1)))}
+    is_open = {k: place(k).bitwiseAND(F.lit(1)) for k in "xy"}
+    # Each part speaks of both sides: one that speaks of y alone would be pushed below the shuffle, which then is no longer shared.
+    once = (is_open["y"] > is_open["x"]) | ((is_open["x"] + is_open["y"] == 2) & (F.col("set_x") < F.col("set_y")))
+    return sides["x"].join(sides["y"], "word").where(once).withColumns(parts).where(_fits(threshold, True)).select("set_x", "set_y")
 
 
 def _later(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(sig, bits) of the sets that come later in a verified pair. Only lines of candidate sets are cut into words again."""
-    pairs = staged(pairs.select("sig_x", "bits_x", "sig_y", "bits_y").distinct(), "line-pairs")
-    ids = pairs.select(F.explode(F.array(*(F.struct(F.col(f"sig_{k}").alias("sig"), F.col(f"bits_{k}").alias("bits")) for k in "xy"))).alias("s")).select("s.sig", "s.bits").distinct()
-    wanted = staged(sets.select("sig", "bits", "doc_id", "line_no").join(ids, ["sig", "bits"]), "line-wanted")
-    mark = F.xxhash64("doc_id")
-    marks = _bit_table(wanted.select("doc_id").distinct(), mark, FILTER_BITS, "line-marks")
-    lines = _lines(texts.where(_in_table(marks, mark, FILTER_BITS)))
-    whole = staged(lines.join(wanted, ["doc_id", "line_no"]).select("sig", "bits", "words", F.struct("doc_id", "line_no").alias("at")), "line-whole")
-    a, b = (whole.select(*(F.col(c).alias(f"{c}_{k}") for c in ("sig", "bits", "at", "words"))) for k in "xy")
-    both = pairs.join(b, ["sig_y", "bits_y"]).join(a, ["sig_x", "bits_x"])
+    """The sets that come later in a verified pair. Only lines of candidate sets are cut into words again."""
+    pairs = staged(pairs.distinct(), "line-pairs")
+    ids = pairs.select(F.explode(F.array("set_x", "set_y")).alias("set")).distinct()
+    wanted = staged(sets.select("set", "doc_id", "digest", "line_no").join(ids, "set"), "line-wanted")
+    document, place = F.xxhash64("doc_id", "digest"), F.xxhash64("doc_id", "digest", "line_no")
+    marks = _bit_table(wanted.select(F.explode(F.array(document, place)).alias("m")), F.col("m"), FILTER_BITS, "line-marks")
+    lines = _lines(texts.where(_in_table(marks, document, FILTER_BITS))).where(_in_table(marks, place, FILTER_BITS))
+    lines = lines.select("doc_id", "digest", "line_no", _hashed(F.col("line")).alias("words"))
+    whole = staged(lines.join(wanted, ["doc_id", "digest", "line_no"]).select("set", "words", F.struct("doc_id", "digest", "line_no").alias("at")), "line-whole")
+    a, b = (whole.select(*(F.col(c).alias(f"{c}_{k}") for c in ("set", "at", "words"))) for k in "xy")
+    both = pairs.join(b, "set_y").join(a, "set_x")
     common = F.size(F.array_intersect("words_x", "words_y"))
     both = both.withColumn("_c", common).where(F.col("_c") >= threshold * (F.size("words_x") + F.size("words_y") - F.col("_c")) - 1e-9)
-    later = F.when(F.col("at_x") < F.col("at_y"), F.struct(F.col("sig_y").alias("sig"), F.col("bits_y").alias("bits"))).otherwise(F.struct(F.col("sig_x").alias("sig"), F.col("bits_x").alias("bits")))
-    return staged(both.select(later.alias("s")).select("s.sig", "s.bits").distinct(), "line-later")
-
+    out = staged(both.select(F.when(F.col("at_x") < F.col("at_y"), F.col("set_y")).otherwise(F.col("set_x")).alias("set")).distinct(), "line-later")
+    release(pairs, wanted, marks, whole)
+    return out
 
-def later_sets(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: int = RARITY_BITS) -> tuple[DataFrame, DataFrame]:
-    """For a frame (doc_id, text): the distinct sets, and (sig, bits) of those that an earlier similar set precedes.
 
-    Thousands of variants of one line must not become all their pairs, and one earlier partner is enough. So each word's sets
-    are first compared with those of the word's earliest document; sets that this shows to come later are settled, and only
-    the others are then joined with every set.
-    """
-    texts = texts.select("doc_id", _plain(F.col("text")).alias("text"))
+def later_sets(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: int = RARITY_BITS, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """For a frame (doc_id, text): the distinct sets, and the sets that an earlier similar one precedes."""
+    texts = texts.select("doc_id", F.xxhash64("text").alias("digest"), _plain(F.col("text")).alias("text"))
     sets = _sets(texts, threshold, rarity_bits)
-    columns = ("sig", "bits", "place", "doc_id")
-    order = Window.partitionBy("word").orderBy("doc_id", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    listed = _postings(sets, "doc_id").select("word", *(F.col(c).alias(f"{c}_y") for c in columns), *(F.first(c).over(order).alias(f"{c}_x") for c in columns))
-    settled = _later(listed.where(_fits(threshold)), sets, texts, threshold)
-    # One frame stands on both sides, so that its shuffle is written once; a pair of two open sets counts in one order only.
-    marked = sets.join(settled.withColumn("_settled", F.lit(True)), ["sig", "bits"], "left").withColumn("open", F.col("_settled").isNull())
-    post = _postings(marked, "open")
-    x, y = (post.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "bits", "place", "open"))) for k in "xy")
-    once = F.col("open_y") & (~F.col("open_x") | (F.col("sig_x") < F.col("sig_y")) | ((F.col("sig_x") == F.col("sig_y")) & (F.col("bits_x") < F.col("bits_y"))))
-    rest = x.join(y, "word").where(once & _fits(threshold))
-    return sets, settled.unionByName(_later(rest, sets, texts, threshold)).distinct()
+    settled = _later(_hub_pairs(sets, threshold, rounds), sets, texts, threshold)
+    return sets, settled.unionByName(_later(_prefix_pairs(sets, settled, threshold), sets, texts, threshold)).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, rarity_bits: int = RARITY_BITS, doc_id: str = "doc_id", text: str = "text", keep_columns: bool = False) -> DataFrame:
@@ -155,9 +214,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, rarity_bits: int
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
     sets, later = later_sets(rows, threshold, rarity_bits)
-    judged = sets.select("sig", "bits", F.col("doc_id").alias("_id"), "line_no").join(later.withColumn("_later", F.lit(True)), ["sig", "bits"], "left")
-    kept = judged.groupBy("_id").agg(F.array_sort(F.collect_list(F.when(F.col("_later").isNull(), F.col("line_no")))).alias("_kept"), F.count("*").alias("_first"))
-    both = docs.join(kept, docs[doc_id] == kept["_id"], "left")
+    judged = sets.select("set", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "line_no").join(later.withColumn("_later", F.lit(True)), "set", "left")
+    kept = judged.groupBy("_id", "_digest").agg(F.array_sort(F.collect_list(F.when(F.col("_later").isNull(), F.col("line_no")))).alias("_kept"), F.count("*").alias("_first"))
+    both = docs.join(kept, (docs[doc_id] == kept["_id"]) & (F.xxhash64(docs[text]) == kept["_digest"]), "left")
     split = F.split(docs[text], "\n")
     worded = F.filter(split, lambda line: line.rlike(WORD))
     have = F.coalesce(kept["_kept"], F.array().cast("array<int>"))
