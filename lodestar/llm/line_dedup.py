@@ -9,9 +9,9 @@ A word is its 55-bit hash, sorted below 7 bits of rarity (a logarithm of how oft
 the bucket table has a fixed size), so that words sort by rarity and shuffle as numbers. Any common order makes the
 prefix filter exact; rarity makes it fast.
 
-Thousands of variants of one line must not become all their pairs, and one earlier partner is enough. So sets first meet the
-earliest set of two small buckets (``keys``: the least and greatest hashes of their rarer half), in ``rounds`` in which those
-that no hub has settled choose the next hub. Only sets that this leaves open are joined with all sets by their prefixes.
+Thousands of variants of one line must not become all their pairs, and one earlier partner is enough. So the sets of a hot
+prefix word, one with ``hot`` sets or more, first meet the earliest of them; those that this does not settle choose the next
+hub, round by round, while a round settles some. Only sets that this leaves open are joined with all sets by their prefixes.
 
 Defined results: one row per row; a document is an id with a text, so texts under one id are told apart, and rows equal in both
 are one document whose lines are repeated within it (they keep equal texts); blank lines are never duplicates and always
@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestar.llm.common import WORD, release, staged
 
 THRESHOLD = 0.8
-RARITY_BITS, FILTER_BITS = 18, 24
+RARITY_BITS, FILTER_BITS, HOT_BITS = 18, 24, 20
 #: Sets of so many words or more have 256 parity bits, smaller ones 64.
-WIDE = 96
+WIDE = 112
 PARITY = ("bits", "bits_1", "bits_2", "bits_3")
 _HASH = (1 << 55) - 1
 
@@ -83,13 +83,6 @@ def _in_table(table: DataFrame, number: Column, bits: int) -> Column:
     return F.get(table.scalar(), _slot(number, bits).cast("int")).bitwiseAND(_bit(number)) != 0
 
 
-def _keys(rarer: Column) -> Column:
-    """Two bucket keys: the least and greatest word by all bits of the hash, and by its low bits."""
-    whole = F.transform(rarer, lambda k: k.bitwiseAND(F.lit(_HASH)))
-    low = F.transform(rarer, lambda k: k.bitwiseAND(F.lit((1 << 27) - 1)))
-    return F.array(*(F.xxhash64(F.lit(i), F.array_min(x), F.array_max(x)) for i, x in enumerate((whole, low))))
-
-
 def _parity(words: Column, n: Column) -> list[Column]:
     """The parity of a set's words by six bits of their hashes; of a large set also those of three of four classes of its words."""
 
@@ -113,7 +106,7 @@ def _may_differ_by(most: Column) -> Column:
 
 
 def _sets(texts: DataFrame, threshold: float, rarity_bits: int) -> DataFrame:
-    """The distinct sets (set, n, PARITY, doc_id, digest, line_no = first place, prefix = rarest words that a similar set must share, keys)."""
+    """The distinct sets (set, n, PARITY, doc_id, digest, line_no = first place, prefix = rarest words that a similar set must share)."""
     rarity = _rarity(texts, rarity_bits)
     n = F.size("words")
     rank = lambda w: F.coalesce(F.get(F.col("_rarity"), w.bitwiseAND(F.lit((1 << rarity_bits) - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(w)
@@ -126,10 +119,9 @@ def _sets(texts: DataFrame, threshold: float, rarity_bits: int) -> DataFrame:
     able = F.col("n") >= threshold / (1 - threshold) - 1e-9
     part = F.transform(F.slice("_o", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1), lambda k: k.bitwiseXOR(F.shiftright(k, 31)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     prefix = F.when(able, part).otherwise(F.array().cast("array<int>"))
-    keys = F.when(able, _keys(F.slice("_o", 1, F.floor((F.col("n") + 1) / 2).cast("int")))).otherwise(F.array().cast("array<long>"))
-    rows = rows.select("at", "n", F.xxhash64("_o").alias("sig"), *PARITY, prefix.alias("prefix"), keys.alias("keys"))
-    distinct = rows.groupBy("sig", "n", *PARITY).agg(F.min("at").alias("at"), F.first("prefix").alias("prefix"), F.first("keys").alias("keys"))
-    out = staged(distinct.select(F.monotonically_increasing_id().alias("set"), "n", *PARITY, "at.doc_id", "at.digest", "at.line_no", "prefix", "keys"), "line-sets")
+    rows = rows.select("at", "n", F.xxhash64("_o").alias("sig"), *PARITY, prefix.alias("prefix"))
+    distinct = rows.groupBy("sig", "n", *PARITY).agg(F.min("at").alias("at"), F.first("prefix").alias("prefix"))
+    out = staged(distinct.select(F.monotonically_increasing_id().alias("set"), "n", *PARITY, "at.doc_id", "at.digest", "at.line_no", "prefix"), "line-sets")
     release(rarity)
     return out
 
@@ -145,23 +137,30 @@ def _fits(threshold: float, position: bool) -> Column:
     return fits & _may_differ_by(total - 2 * need)
 
 
-def _hub_pairs(sets: DataFrame, threshold: float, rounds: int) -> DataFrame:
-    """(set_x, set_y): sets y with the earliest set x of a bucket that they may be similar to, round by round."""
+def _hub_pairs(sets: DataFrame, threshold: float, hot: int, rounds: int) -> DataFrame:
+    """(set_x, set_y): sets y with the earliest set x of a hot prefix word that they may be similar to, round by round."""
     filters = ("set", "n", *PARITY)
-    rows = sets.select(F.explode("keys").alias("key"), F.struct("doc_id", "digest", "line_no").alias("at"), *filters)
-    several = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    rows, found = staged(rows.join(several, "key"), "line-buckets"), None
-    for k in range(rounds):
-        hubs = rows.groupBy("key").agg(F.min(F.struct("at", *(F.col(c).alias(f"{c}_x") for c in filters))).alias("_hub"), F.count("*").alias("_n")).where("_n > 1")
-        pairs = rows.select("key", *(F.col(c).alias(f"{c}_y") for c in filters)).join(hubs.select("key", "_hub.*"), "key")
-        pairs = staged(pairs.where((F.col("set_x") != F.col("set_y")) & _fits(threshold, False)).select("set_x", "set_y").distinct(), "line-hub-pairs")
+    words = staged(sets.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") >= hot).select("key"), "line-hot")
+    mark = F.xxhash64("key")
+    marks = _bit_table(words, mark, HOT_BITS, "line-hot-marks")
+    rows = sets.select(F.explode("prefix").alias("key"), "doc_id", *filters).where(_in_table(marks, mark, HOT_BITS)).join(words, "key")
+    rows, found, before = staged(rows, "line-buckets"), None, 1
+    for _ in range(rounds):
+        hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", *(F.col(c).alias(f"{c}_x") for c in filters))).alias("_hub"), F.count("*").alias("_n")).where("_n > 1")
+        hubs = staged(hubs.select("key", "_hub.*").drop("doc_id"), "line-hubs")
+        pairs = rows.select("key", *(F.col(c).alias(f"{c}_y") for c in filters)).join(hubs, "key")
+        pairs = staged(pairs.where((F.col("set_x") != F.col("set_y")) & _fits(threshold, False)).select("key", "set_x", "set_y"), "line-hub-pairs")
         found = pairs if found is None else found.unionByName(pairs)
-        if k + 1 < rounds:
-            done = pairs.select(F.col("set_y").alias("set")).unionByName(hubs.select(F.col("_hub.set_x").alias("set"))).distinct()
-            last, rows = rows, staged(rows.join(done, "set", "left_anti"), "line-buckets")
-            release(last)
-    release(rows)
-    return found
+        # The next round is of the words whose hubs settled some.
+        done = pairs.select(F.col("set_y").alias("set")).unionByName(hubs.select(F.col("set_x").alias("set"))).distinct()
+        last, rows = rows, staged(rows.join(pairs.select("key").distinct(), "key", "left_semi").join(done, "set", "left_anti"), "line-buckets")
+        release(last, hubs)
+        many = pairs.count()
+        if not many or many < before / 100:
+            break
+        before = many
+    release(rows, words, marks)
+    return found.select("set_x", "set_y")
 
 
 def _prefix_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
@@ -198,11 +197,11 @@ def _later(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float
     return out
 
 
-def later_sets(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: int = RARITY_BITS, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def later_sets(texts: DataFrame, threshold: float = THRESHOLD, rarity_bits: int = RARITY_BITS, hot: int = 256, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
     """For a frame (doc_id, text): the distinct sets, and the sets that an earlier similar one precedes."""
     texts = texts.select("doc_id", F.xxhash64("text").alias("digest"), _plain(F.col("text")).alias("text"))
     sets = _sets(texts, threshold, rarity_bits)
-    settled = _later(_hub_pairs(sets, threshold, rounds), sets, texts, threshold)
+    settled = _later(_hub_pairs(sets, threshold, hot, rounds), sets, texts, threshold)
     return sets, settled.unionByName(_later(_prefix_pairs(sets, settled, threshold), sets, texts, threshold)).distinct()
 
 
