@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestar.llm.common import staged
+
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of the documents that share one suffix array.
@@ -164,8 +166,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, max_wor
     """Judge each document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated).
 
     A document is contaminated if it has a hit word and its hit words are a twentieth of its words or more. With
-    ``keep_columns`` the clean documents come back with their own columns instead. Beyond ``max_words`` benchmark words,
-    documents are told apart by id and text.
+    ``keep_columns`` the clean documents come back with their own columns instead. Every row gives a row, beyond ``max_words``
+    benchmark words too, where hits are merged by id and text.
     """
     groups = -(-(benchmark.agg(F.sum(F.regexp_count(item_text, F.lit(WORD_SQL)))).first()[0] or 0) // max_words)
     if groups <= 1:
@@ -180,11 +182,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, max_wor
         part = docs.select(key.alias("_key"), hits(F.col(text)).alias("_h"))
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.groupBy("_key").agg(F.max("_h.n_words").alias("n"), F.collect_set("_h").alias("h"))
-    result = merged.select(F.col("_key"), _merge()(F.col("n"), F.col("h.starts"), F.col("h.ends"), F.col("h.items")).alias("_r"))
+    result = staged(merged.select(F.col("_key"), _merge()(F.col("n"), F.col("h.starts"), F.col("h.ends"), F.col("h.items")).alias("_r")), "contamination")
     if keep_columns:
         bad = result.where("_r.contaminated").select("_key")
         return docs.join(bad, key.eqNullSafe(bad["_key"]), "left_anti")
-    return result.select("_key.doc_id", "_r.*")
+    # Rows that repeat share a verdict; each has its own row in the result, as on the small path.
+    rows = docs.select(key.alias("_own"))
+    return rows.join(result, rows["_own"].eqNullSafe(result["_key"])).select("_own.doc_id", "_r.*")
 
 
 def _hits(shared):

@@ -2,16 +2,18 @@
 
 1. Targets: sources in order of code point (null last) get weights in turn; their shares of the wanted total stop at a
    multiple of each source's size, and the excess is shared again by weight until no target is above.
-2. Blocks: the wanted words, in blocks of ``block`` words, go to sources by the highest quotients target / (2k + 1), and each
+2. Blocks: the wanted words, in blocks of ``block`` words (by default 256, but at most a 64th of the least target, so that a small
+   source comes near its own), go to sources by the highest quotients target / (2k + 1), and each
    source's blocks go to its shards in the same way by shard size. A shard is a fixed slice of a source by hash of the
    document, so that a source with a third of all rows is laid out by many tasks.
 3. Selection: a shard's documents stand in seeded hash order, cut into blocks; its quota takes the first blocks, and further
    passes over the shard if it is larger than the shard. A document takes the words that the selected blocks hold of it.
 
-One row per source, or per shard of one source, is all that meets in a task for 1 and 2. The result depends on ids, texts and
+One row per source, or per shard of one source (at most ``max_shards``; shards of a larger source hold more words), is all that meets
+in a task for 1 and 2. The result depends on ids, texts and
 the seed only, not on partitions.
 
-Defined results: a null or wordless text has size 0 and takes 0; null is a source of its own; repeated rows each take their
+Defined results: a null or wordless text has size 0 and takes 0; a null id is an id like others; null is a source of its own; repeated rows each take their
 own part; an empty table gives an empty result.
 """
 
@@ -67,7 +69,7 @@ def sainte_lague(shares: list[float], seats: int) -> list[int]:
     return [int(g) for g in given]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 256, shard_words: int = 500_000, max_shards: int = 4096, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int | None = None, shard_words: int = 500_000, max_shards: int = 4096, seed: int = 17, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, size, source, source_size, target, taken) of every row."""
     rows = staged(docs.select(F.col(doc_id).alias("doc_id"), n_words(F.col(text)).alias("size"), F.col(source).alias("source"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_h")), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -80,12 +82,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
         own = [float(weights[i % len(weights)]) for i in range(len(sizes))]
         target = water_fill(own, [most * x for x in sizes], share * sum(sizes))
         pdf["target"] = target
-        pdf["blocks"] = sainte_lague(target, round(math.fsum(target) / block))
+        pdf["block"] = block or min(256, max(1, int(min((t for t in target if t > 0), default=1) / 64)))
+        pdf["blocks"] = sainte_lague(target, round(math.fsum(target) / int(pdf["block"].iloc[0])))
         pdf["shards"] = [int(min(max_shards, max(1, -(-x // shard_words)))) for x in sizes]
-        return pdf[["source", "source_size", "target", "blocks", "shards"]]
+        return pdf[["source", "source_size", "target", "block", "blocks", "shards"]]
 
-    plan = staged(sources.groupBy(F.lit(1).alias("_one")).applyInPandas(targets, "source string, source_size long, target double, blocks long, shards long"), "mix-sources")
-    placed = rows.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, rows["source"].eqNullSafe(plan["source"])).select(rows["*"], "source_size", "target", "blocks", "shards")
+    plan = staged(sources.groupBy(F.lit(1).alias("_one")).applyInPandas(targets, "source string, source_size long, target double, block long, blocks long, shards long"), "mix-sources")
+    placed = rows.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, rows["source"].eqNullSafe(plan["source"])).select(rows["*"], "source_size", "target", "block", "blocks", "shards")
     placed = placed.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.col("shards")))
     shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("blocks").alias("blocks"))
 
@@ -98,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     order = Window.partitionBy("source", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = placed.withColumn("_end", F.sum("size").over(order))
     both = laid.join(quota, laid["source"].eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_n")))
-    wanted = F.least(F.col("quota") * block, (F.col("_words") * most).cast("long"))
+    wanted = F.least(F.col("quota") * F.col("block"), (F.col("_words") * most).cast("long"))
     passes = F.when(F.col("_words") > 0, F.floor(wanted / F.col("_words"))).otherwise(0)
     part = F.greatest(F.lit(0), F.least(F.col("size"), wanted - passes * F.col("_words") - (F.col("_end") - F.col("size"))))
     return both.select("doc_id", "size", "source", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"))

@@ -7,13 +7,14 @@ a document if its place in the interval lies below the shingle's weight there. T
 signature, so two registers agree with exactly the weighted Jaccard similarity as probability. A process stops once it is
 later than all registers.
 
-Equal texts are folded first. Documents with an equal band of registers are candidates; candidates are verified on whole
-multisets. A group of thousands does not become all its pairs: in each bucket the most central document is compared with the
-others, documents that this links are one class, and what is still apart is joined exactly by rare-shingle prefixes with
-size and positional filters.
-
-Defined results: one row per distinct (id, text); class_id is the least id of the class. Null or wordless texts and rows
-with a null id are classes of their own (class_id = doc_id). An empty table gives an empty result.
+Equal texts are folded first; from then on a text is a number. Texts with an equal band of registers are candidates; candidates
+are verified on whole multisets. A group of thousands does not become all its pairs: in each bucket the most central text is
+compared with the others, texts that this links are one class, a text of another class is compared with the rest, and what is still
+apart is joined exactly by rare-shingle prefixes with size and positional filters.
+
+Defined results: one row per distinct (id, text), with the number of rows that it stands for; (class_id, class_digest), the least
+id of the class and the digest of that row's text, names the class, so that equal ids with different texts mix nothing. Null or
+wordless texts and rows with a null id are classes of their own (their own id and digest). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lodestar.llm.common import WORD_BYTES, components, mix64, staged, unit
+from lodestar.llm.common import WORD_BYTES, components, mix64, release, staged, unit
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -136,23 +137,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _with_class(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members of buckets that still hold several classes, with their class."""
+    """Members of buckets with their class."""
     if roots is None:
         return members.withColumn("c", F.col("id"))
-    named = members.join(roots, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
-    mixed = named.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("key")
-    return named.join(mixed, "key")
+    return members.join(roots, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+
+
+def _mixed(named: DataFrame, again: bool) -> DataFrame:
+    """(key, hub, hub_class) of the buckets that hold several classes: the most central member, again the one of the last class.
+
+    Only aggregates of a bucket meet in a task, never its members.
+    """
+    rank = F.struct("c", "weight", -F.col("id")) if again else F.struct("weight", -F.col("id"))
+    stats = named.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.max_by(F.struct("id", "c"), rank).alias("_hub")).where("_low < _high")
+    return stats.select("key", F.col("_hub.id").alias("hub"), F.col("_hub.c").alias("hub_class"))
 
 
-def _hub_pairs(members: DataFrame, again: bool) -> DataFrame:
-    """The most central member of each bucket (again: of those outside the first one's class) with members of other classes."""
-    rank = F.struct("weight", -F.col("id"))
-    if again:
-        top = members.groupBy("key").agg(F.max_by("c", rank).alias("_top"))
-        hubs = members.join(top, "key").where("c <> _top").groupBy("key").agg(F.max_by(F.struct("id", "c"), rank).alias("_hub"))
-    else:
-        hubs = members.groupBy("key").agg(F.max_by(F.struct("id", "c"), rank).alias("_hub"))
-    return members.join(hubs, "key").where("c <> _hub.c").select(F.col("_hub.id").alias("a"), F.col("id").alias("b")).distinct()
+def _hub_pairs(named: DataFrame, again: bool) -> DataFrame:
+    """Hubs with the members of other classes in their buckets."""
+    return named.join(_mixed(named, again), "key").where("c <> hub_class").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -174,11 +177,12 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, class_id): digest is the MD5 of the text, null for a null text."""
+    """(doc_id, digest, n_rows, class_id, class_digest): digest is the MD5 of the text, null for a null text."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.md5(text).alias("digest"), F.col(text).alias("_text"))
     sig = staged(own.select("doc_id", "digest", signature(bands, rows, size)(F.col("_text")).alias("keys")), "near-signatures")
     worded = sig.where(F.col("doc_id").isNotNull() & F.col("keys").isNotNull())
-    folded = staged(worded.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")), "near-folded")
+    folded = worded.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys"))
+    folded = staged(folded.select(F.monotonically_increasing_id().alias("id"), "digest", "first", "keys"), "near-folded")
 
     bucket = folded.select("id", F.explode("keys").alias("key"))
     shared = bucket.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -186,31 +190,38 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     members = staged(members.drop("n").join(weight, "id"), "near-members")
 
-    wanted = members.groupBy("id").agg(F.lit(True).alias("_in"))
-    texts = own.select(F.col("doc_id").alias("id"), F.col("digest"), "_text").join(wanted.join(folded.select("id", "digest"), "id"), ["id", "digest"])
-    sets = staged(texts.dropDuplicates(["id", "digest"]).select("id", multiset(size)(F.col("_text")).alias("s")), "near-sets")
+    wanted = folded.join(members.groupBy("id").agg(F.lit(True).alias("_in")), "id").select("id", "digest", "first")
+    texts = own.join(wanted.withColumnRenamed("digest", "_digest"), (F.col("doc_id") == F.col("first")) & (F.col("digest") == F.col("_digest")))
+    sets = staged(texts.dropDuplicates(["id"]).select("id", multiset(size)(F.col("_text")).alias("s")), "near-sets")
 
     links, roots = None, None
     for again in (False, True):
-        apart = _with_class(members, roots)
-        found = _verified(_hub_pairs(apart, again), sets, threshold)
-        links = found if links is None else links.unionByName(found)
-        links = staged(links, "near-links")
-        roots = components(links, "near-classes")
-    rest = _with_class(members, roots).groupBy("id").agg(F.min("c").alias("c"))
+        found = _verified(_hub_pairs(_with_class(members, roots), again), sets, threshold)
+        last, links = links, staged(found if links is None else links.unionByName(found), "near-links")
+        before, roots = roots, components(links, "near-classes")
+        release(*(x for x in (last, before) if x is not None))
+    named = _with_class(members, roots)
+    rest = named.join(_mixed(named, False), "key", "left_semi").groupBy("id").agg(F.min("c").alias("c"))
     left = staged(sets.join(rest, "id"), "near-rest")
     if left.select("id").head(1):
-        links = staged(links.unionByName(_verified(prefix_pairs(left, threshold), sets, threshold)), "near-links")
-        roots = components(links, "near-classes")
-    classes = folded.select("digest", "id").join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("_class"))
-    named = sig.select("doc_id", "digest", F.col("keys").isNotNull().alias("_w")).distinct().join(classes, "digest", "left")
-    return named.select("doc_id", "digest", F.when(F.col("_w") & F.col("doc_id").isNotNull(), F.col("_class")).otherwise(F.col("doc_id")).alias("class_id"))
+        last, links = links, staged(links.unionByName(_verified(prefix_pairs(left, threshold), sets, threshold)), "near-links")
+        before, roots = roots, components(links, "near-classes")
+        release(last, before)
+    release(members, sets, left)
+    classes = folded.select("id", "digest", "first").join(roots, "id", "left").select("digest", "first", F.coalesce("root", "id").alias("_class"))
+    heads = classes.groupBy("_class").agg(F.min(F.struct("first", "digest")).alias("_head"))
+    classes = classes.join(heads, "_class").select("digest", "_head")
+    named = sig.groupBy("doc_id", "digest").agg(F.count("*").alias("n_rows"), (F.count("keys") > 0).alias("_w")).join(classes, "digest", "left")
+    within = F.col("_w") & F.col("doc_id").isNotNull()
+    return named.select("doc_id", "digest", "n_rows", *(F.when(within, F.col(f"_head.{a}")).otherwise(F.col(b)).alias(c) for a, b, c in (("first", "doc_id", "class_id"), ("digest", "digest", "class_digest"))))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Documents without all but the first of each class; of repeated rows one stays."""
+    """Documents without all but the first of each class. Of rows equal in id (null too) and text one stays."""
     classes = staged(near_duplicates(docs, doc_id=doc_id, text=text, **options), "near-result")
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    left = docs.join(gone, (docs[doc_id] == gone["_id"]) & (F.md5(docs[text]) == gone["_digest"]), "left_anti")
-    repeated = docs.groupBy(doc_id).count().where(F.col("count") > 1).where(F.col(doc_id).isNotNull())
-    return left.dropDuplicates([doc_id, text]) if repeated.head(1) else left
+    gone = ~F.col("doc_id").eqNullSafe(F.col("class_id")) | ~F.col("digest").eqNullSafe(F.col("class_digest"))
+    marked = classes.where(gone | (F.col("n_rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), gone.alias("_gone"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_own"), F.md5(text).alias("_md5"))
+    left = rows.join(marked, F.col("_own").eqNullSafe(F.col("_id")) & F.col("_md5").eqNullSafe(F.col("_digest")), "left").where(~F.coalesce("_gone", F.lit(False)))
+    once, repeated = left.where("_gone IS NULL"), left.where("_gone IS NOT NULL").dropDuplicates(["_own", "_md5"])
+    return once.select("_row.*").unionByName(repeated.select("_row.*"))

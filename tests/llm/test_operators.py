@@ -81,6 +81,16 @@ def test_contamination_odd_cases(spark, odd, empty):
     assert collected(D.decontaminate(odd, bench.limit(0))).n_hit.sum() == 0
 
 
+@pytest.mark.parametrize("bound", [2_000_000, 1])
+def test_repeated_rows_are_judged_row_by_row(spark, bound):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = spark.createDataFrame([(1, text), (1, text), (1, "clean"), (None, text), (None, text), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, text), (8, "other words of an item")], "item_id long, text string")
+    got = sorted((repr(r.doc_id), r.n_words, r.contaminated) for r in D.decontaminate(rows, bench, max_words=bound).collect())
+    assert got == [("1", 1, False), ("1", 20, True), ("1", 20, True), ("2", 0, False), ("None", 20, True), ("None", 20, True)]
+    assert D.decontaminate(rows, bench, max_words=bound, keep_columns=True).count() == 2
+
+
 def test_longest_matches(spark):
     words = [f"w{i}" for i in range(40)]
     docs = spark.createDataFrame([(1, " ".join(["pre", *words[:30], "mid", *words[5:20], "end"])), (2, "nothing here")], "doc_id long, text string")
@@ -155,6 +165,15 @@ def test_near_duplicates_odd_cases(spark, odd, empty):
     assert N.near_duplicates(empty).count() == 0
 
 
+def test_equal_ids_with_other_texts_are_told_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = spark.createDataFrame([(1, a), (1, b), (0, b + " more"), (1, a), (None, a), (None, a), (5, "")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_rows, r.class_id, r.class_digest == r.digest) for r in N.near_duplicates(rows).collect()}
+    assert got == {(1, 2, 1, True), (1, 1, 0, False), (0, 1, 0, True), (None, 2, None, True), (5, 1, 5, True)}
+    kept = sorted(((r.doc_id, r.text) for r in N.keep_one(rows).collect()), key=repr)
+    assert kept == sorted([(1, a), (0, b + " more"), (None, a), (5, "")], key=repr)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r.id: r.root for r in common.components(links).collect()}
@@ -205,6 +224,26 @@ def test_lines_odd_cases(spark, odd, empty):
     assert line_dedup.dedup_lines(empty, rarity_bits=8).count() == 0
 
 
+def test_lines_of_equal_ids_with_other_texts(spark):
+    rows = spark.createDataFrame([(1, "a b c\nd e f"), (1, "d e f\ng h i\na b c"), (2, "g h i"), (None, "a b c"), (2, None)], "doc_id long, text string")
+    got = sorted((repr(r.doc_id), repr(r.text), r.n_lines, r.n_kept) for r in line_dedup.dedup_lines(rows, rarity_bits=8).collect())
+    assert len(got) == 5 and sum(r[3] for r in got) == 4 and ("'2'", "''", 1, 0) not in got
+    assert ("None", "'a b c'", 1, 1) in got and ("2", "None", 0, 0) in got and ("2", "''", 1, 0) in got
+
+
+def test_groups_of_variants_of_a_line(spark):
+    rng = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(30)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for at in rng.choice(30, rng.integers(0, 4), replace=False):
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, rarity_bits=8).collect()} == brute_lines(rows)
+
+
 def test_line_plan_is_native(docs):
     plan = line_dedup.dedup_lines(docs, rarity_bits=8)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
@@ -238,6 +277,11 @@ def test_mix_comes_near_targets(spark, docs, odd, empty):
     assert abs(sums.target.sum() - 1.5 * got["size"].sum()) < 1e-6 * sums.target.sum()
     again = collected(mixing.mix(docs.repartition(7), block=32, shard_words=3000))
     assert sorted(zip(got.doc_id, got.taken, strict=True)) == sorted(zip(again.doc_id, again.taken, strict=True))
+    sizes = {"a": (10, 4), "b": (25, 2), "c": (100, 1), "d": (1, 9000), None: (7, 3)}
+    small = spark.createDataFrame([(1000 * k + i, "w " * n, "en", s, 1) for k, (s, (m, n)) in enumerate(sizes.items()) for i in range(m)], SCHEMA)
+    took = collected(mixing.mix(small))
+    sums = took.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((sums.taken - sums.target).abs() <= 2 + 0.02 * sums.target).all() and (took.taken <= 2 * took["size"]).all()
     odd_ = collected(mixing.mix(odd)).sort_values("doc_id")
     assert len(odd_) == 6 and odd_[odd_.doc_id == 900].taken.tolist() == [0]
     assert mixing.mix(empty).count() == 0
