@@ -5,8 +5,8 @@ joined with each other exactly: words in order of rarity, prefix filter, size an
 verification of the Jaccard similarity on whole sets. A line is removed if an earlier line has an equal set or one of at
 least the threshold's similarity.
 
-A word is its 55-bit hash, sorted below 7 bits of rarity (a logarithm of how often its hash bucket occurs in the whole table;
-the bucket table has a fixed size), so that words sort by rarity and shuffle as numbers. Any common order makes the
+A word is its 64-bit hash; in the order 55 bits of it stand below 7 bits of rarity (a logarithm of how often its hash bucket
+occurs in the whole table; the bucket table has a fixed size), so that words sort by rarity and shuffle as numbers. Any common order makes the
 prefix filter exact; rarity makes it fast.
 
 Thousands of variants of one line must not become all their pairs, and one earlier partner is enough. So the sets of a hot
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestar.llm.common import WORD, release, staged
+from lodestar.llm.common import WORD, any_of, release, staged
 
 THRESHOLD = 0.8
 RARITY_BITS, FILTER_BITS, HOT_BITS = 18, 24, 20
@@ -35,7 +35,8 @@ _HASH = (1 << 55) - 1
 
 def _plain(text: Column) -> Column:
     """A text with ASCII white space other than line ends as spaces; most texts have none and stay as they are."""
-    return F.when(text.rlike(r"[\t\x0B\f\r]"), F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
+    some = any_of(F.contains(text, F.lit(c)) for c in "\t\x0b\f\r")
+    return F.when(some, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(text)
 
 
 def _bit(number: Column) -> Column:
@@ -61,8 +62,7 @@ def _rarity(texts: DataFrame, bits: int) -> DataFrame:
 
 def _hashed(line: Column) -> Column:
     """The distinct words of a line as hashes."""
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_HASH)))
-    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")).bitwiseAND(F.lit(_HASH)))
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _sets(texts: DataFrame, threshold: float, rarity_bits: int) -> DataFrame:
     """The distinct sets (set, n, PARITY, doc_id, digest, line_no = first place, prefix = rarest words that a similar set must share)."""
     rarity = _rarity(texts, rarity_bits)
     n = F.size("words")
-    rank = lambda w: F.coalesce(F.get(F.col("_rarity"), w.bitwiseAND(F.lit((1 << rarity_bits) - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(w)
+    rank = lambda w: F.coalesce(F.get(F.col("_rarity"), w.bitwiseAND(F.lit((1 << rarity_bits) - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(w.bitwiseAND(F.lit(_HASH)))
     rows = _lines(texts).select(F.struct("doc_id", "digest", "line_no").alias("at"), _hashed(F.col("line")).alias("words")).where(F.size("words") > 0)
     # A subquery may not stand in a lambda, but a column may. Read once and beside plain columns only, the plan folds it into the
     # lambda, so that the table is one value and not copied with every line.
