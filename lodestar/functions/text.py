@@ -91,7 +91,7 @@ def scrub_pii(c: str | Column) -> Column:
 
 def normalise_query(c: str | Column) -> Column:
     """Lower case, single spaces, straight quotes, one spelling per family."""
-    text = F.regexp_replace(F.trim(F.lower(col(c))), r"\s+", " ")
+    text = F.trim(F.regexp_replace(F.lower(col(c)), r"\s+", " "))
     text = F.translate(text, "‘’“”", "''\"\"")
     return _chain(text, SPELLINGS)
 

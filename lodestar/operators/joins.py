@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.common import blank, top, true
 from lodestar.functions.geo import haversine
-from lodestar.functions.text import digits, trigrams
+from lodestar.functions.text import digits, raw_trigrams, trigrams
 
 
 def alias_search(queries: DataFrame, aliases: DataFrame, items: DataFrame, score: float = 500.0, key: str = "id") -> DataFrame:
@@ -139,14 +139,16 @@ def contact_rules(phone: str = "phone", email: str = "email", address: str = "ad
 def create_warnings(requests: DataFrame, items: DataFrame) -> DataFrame:
     """(request_id, item_id, reason): items with the request's phone, or whose name contains or is contained in its name.
 
-    Names are blocked by their words: one that contains another shares its longest word.
+    A name that contains another has its first three characters somewhere, so pairs meet in an equi-join on trigrams and are then
+    verified. Names of fewer than three characters fit no other.
     """
     r = requests.select("request_id", digits("phone").alias("_p"), F.lower(F.trim("name")).alias("_n"))
     i = items.select(F.col("id").alias("item_id"), digits("phone").alias("_q"), F.lower(F.trim("name")).alias("_m"))
     by_phone = r.where(~blank("_p")).join(i, F.col("_p") == F.col("_q")).select("request_id", "item_id", F.lit("phone").alias("reason"))
-    longest = F.array_max(F.transform(F.split("_n", r"\s+"), lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    words = i.select("item_id", "_m", F.explode(F.array_distinct(F.split("_m", r"\s+"))).alias("_w"))
-    by_name = r.where(F.length("_n") >= 3).withColumn("_w", longest).join(words, "_w").where(F.contains("_m", F.col("_n"))).select("request_id", "item_id", F.lit("name").alias("reason"))
+    names_r, names_i = r.select("request_id", "_n").where(F.length("_n") >= 3), i.select("item_id", "_m").where(F.length("_m") >= 3)
+    inside = names_r.withColumn("_g", F.substring("_n", 1, 3)).join(names_i.withColumn("_g", F.explode(raw_trigrams("_m"))), "_g").where(F.contains("_m", F.col("_n")))
+    around = names_r.withColumn("_g", F.explode(raw_trigrams("_n"))).join(names_i.withColumn("_g", F.substring("_m", 1, 3)), "_g").where(F.contains("_n", F.col("_m")))
+    by_name = inside.unionByName(around).select("request_id", "item_id", F.lit("name").alias("reason"))
     both = by_phone.unionByName(by_name)
     return both.groupBy("request_id", "item_id").agg(F.max("reason").alias("reason"))
 

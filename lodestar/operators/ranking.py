@@ -148,15 +148,21 @@ def relevance_search(queries: DataFrame, items: DataFrame, now: Column, weights:
 
 
 def location_search(queries: DataFrame, items: DataFrame, now: Column, n: int = 50, key: str = "id", region: str = "province") -> DataFrame:
-    """Items of a query's place (100) or region (50) with points for clicks, recency and completeness."""
+    """Items of a query's place (100) or region (50) with points for clicks, recency and completeness.
+
+    Items of the region are ranked once: the best n of them go to every query as one array. This loses nothing, as one that is
+    also of the place scores more there.
+    """
     q = queries.select("query_id", F.lower(F.trim("location")).alias("_place")).where(~blank("_place"))
-    words = items.withColumnRenamed(key, "item_id").withColumn("_w", F.explode(F.array_distinct(F.concat(F.split(F.lower("location"), r"[,\s]+"), F.array(F.lit("*"))))))
-    local = q.withColumn("_w", F.split("_place", r"[,\s]+")[0]).join(words.where("_w <> '*'"), "_w").where(contains("location", F.col("_place"))).withColumn("_tier", F.lit(100.0))
-    wide = q.select("query_id", "_place", F.lit("*").alias("_w")).join(words.where((F.col("_w") == "*") & contains("location", region)), "_w").where(~contains("location", F.col("_place"))).withColumn("_tier", F.lit(50.0))
-    rows = local.unionByName(wide)
     full = F.when(~blank("phone"), 5.0).otherwise(0.0) + F.when(~blank("description"), 5.0).otherwise(0.0)
-    score = F.col("_tier") + click_points(F.col("click_count"), "log") + recency_points(F.col("last_updated"), now, (15, 10, -5)) + full
-    return top(rows.select("query_id", "item_id", F.round(score, 6).alias("score")), ["query_id"], by_score(), n)
+    points = click_points(F.col("click_count"), "log") + recency_points(F.col("last_updated"), now, (15, 10, -5)) + full
+    scored = items.select(F.col(key).alias("item_id"), "location", points.alias("_points"))
+    words = scored.withColumn("_w", F.explode(F.array_distinct(F.split(F.lower("location"), r"[,\s]+"))))
+    local = q.withColumn("_w", F.split("_place", r"[,\s]+")[0]).join(words, "_w").where(contains("location", F.col("_place"))).select("query_id", "item_id", F.round(100.0 + F.col("_points"), 6).alias("score"))
+    best = scored.where(contains("location", region)).orderBy(F.round(50.0 + F.col("_points"), 6).desc(), "item_id").limit(n)
+    listed = best.agg(F.collect_list(F.struct("item_id", "location", "_points")).alias("_all"))
+    wide = q.withColumn("_i", F.explode(listed.scalar())).where(~contains("_i.location", F.col("_place"))).select("query_id", "_i.item_id", F.round(50.0 + F.col("_i._points"), 6).alias("score"))
+    return top(local.unionByName(wide), ["query_id"], by_score(), n)
 
 
 def fast_search(queries: DataFrame, by_alias: DataFrame, by_location: DataFrame, general: DataFrame, flag: str = "location_only") -> DataFrame:

@@ -143,10 +143,12 @@ def org_siblings(spark, sf_dir):
     return J.insert_org_siblings(ranked, c.select(F.col("c_custkey").alias("id"), "name"), lead=1.05).select("query_id", "item_id")
 
 
-@query("""WITH r AS (SELECT s_suppkey AS request_id, 'brand ' || CAST(s_suppkey % 30 AS VARCHAR) AS name, '403-555-' || lpad(CAST(s_suppkey % 700 AS VARCHAR), 4, '0') AS phone FROM supplier), """ + ITEMS + """
-SELECT request_id, id AS item_id, CASE WHEN items.phone = r.phone THEN 'phone' END AS reason FROM r JOIN items ON items.phone = r.phone""")
+@query("WITH " + ITEMS + """, r AS (SELECT p_partkey AS request_id, CASE p_partkey % 3 WHEN 0 THEN ' ' || upper(p_name) WHEN 1 THEN p_name || ' north' ELSE substr(p_name, 2, 6) END AS name, '403-555-' || lpad(CAST(p_partkey % 700 AS VARCHAR), 4, '0') AS phone FROM part WHERE p_partkey % 20 = 0)
+SELECT request_id, id AS item_id, CASE WHEN items.phone = r.phone THEN 'phone' ELSE 'name' END AS reason FROM r JOIN items ON items.phone = r.phone
+  OR (least(length(trim(r.name)), length(items.name)) >= 3 AND (contains(lower(items.name), lower(trim(r.name))) OR contains(lower(trim(r.name)), lower(items.name))))""")
 def create_warnings(spark, sf_dir):
-    r = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS request_id", "concat('brand ', cast(s_suppkey % 30 AS string)) AS name", "concat('(403) 555 ', lpad(cast(s_suppkey % 700 AS string), 4, '0')) AS phone")
+    name = "CASE p_partkey % 3 WHEN 0 THEN concat(' ', upper(p_name)) WHEN 1 THEN concat(p_name, ' north') ELSE substr(p_name, 2, 6) END AS name"
+    r = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").selectExpr("p_partkey AS request_id", name, "concat('(403) 555 ', lpad(cast(p_partkey % 700 AS string), 4, '0')) AS phone")
     return J.create_warnings(r, items(spark, sf_dir))
 
 

@@ -186,7 +186,7 @@ def _nested(c: str, rules) -> str:
     return c
 
 
-@query(with_(TURNS) + "SELECT query_id, " + _nested("translate(regexp_replace(lower(trim(whole, ' ')), '\\s+', ' ', 'g'), '‘’“”', '''''\"\"')", T.SPELLINGS) + " AS normalised FROM turns")
+@query(with_(TURNS) + "SELECT query_id, " + _nested("translate(trim(regexp_replace(lower(whole), '\\s+', ' ', 'g'), ' '), '‘’“”', '''''\"\"')", T.SPELLINGS) + " AS normalised FROM turns")
 def normalise_query(spark, sf_dir):
     return queries_table(spark, sf_dir).select("query_id", T.normalise_query("whole").alias("normalised"))
 
@@ -243,17 +243,17 @@ def top_labels(spark, sf_dir):
     return Q.top_labels(q, Q.score_labels(q, _patterns(spark), "whole")).select("query_id", "primary", "primary_confidence", "secondary")
 
 
-@query(with_(TURNS) + "SELECT query_id, concat_ws(',', CASE WHEN regexp_matches(text, 'en', 'i') THEN 'has en' END, CASE WHEN regexp_matches(text, '^the', 'i') THEN 'the' END) AS attributes FROM turns")
+@query(with_(TURNS) + "SELECT query_id, concat_ws(',', CASE WHEN regexp_matches(whole, 'en', 'i') THEN 'has en' END, CASE WHEN regexp_matches(whole, '^the', 'i') THEN 'the' END) AS attributes FROM turns")
 def query_attributes(spark, sf_dir):
-    return queries_table(spark, sf_dir).select("query_id", F.array_join(Q.attributes("text", [("has en", "en"), ("the", "^the")]), ",").alias("attributes"))
+    return queries_table(spark, sf_dir).select("query_id", F.array_join(Q.attributes("whole",[("has en", "en"), ("the", "^the")]), ",").alias("attributes"))
 
 
-@query(with_(TURNS) + """, w AS (SELECT query_id, unnest(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS token FROM turns), s(term, synonym) AS (VALUES ('the', 'thee'), ('of', 'from'), ('la', 'the')),
+@query(with_(TURNS) + """, w AS (SELECT query_id, unnest(list_filter(string_split(lower(whole), ' '), lambda x: x <> '')) AS token FROM turns), s(term, synonym) AS (VALUES ('the', 'thee'), ('of', 'from'), ('la', 'the')),
 b AS (SELECT term, synonym FROM s UNION SELECT synonym, term FROM s)
 SELECT query_id, string_agg(token, ' ' ORDER BY token) AS terms FROM (SELECT query_id, token FROM w UNION SELECT query_id, synonym FROM w JOIN b ON token = term) GROUP BY 1""".replace("\n, w", ", w", 1))
 def expand_terms(spark, sf_dir):
     q = queries_table(spark, sf_dir)
-    tokens = q.select("query_id", F.explode(F.filter(F.split(F.lower("text"), " "), lambda w: w != "")).alias("token"))
+    tokens = q.select("query_id", F.explode(F.filter(F.split(F.lower("whole"), " "), lambda w: w != "")).alias("token"))
     synonyms = spark.createDataFrame([("the", "thee"), ("of", "from"), ("la", "the")], "term string, synonym string")
     return Q.expand(tokens, synonyms).withColumn("terms", F.array_join("terms", " "))
 

@@ -1,6 +1,7 @@
 """Structured Streaming jobs over the event log; each gives on the same events what its batch twin gives.
 
-Events have the columns id, ts (timestamp), query, item, session, position, result_count, location. Watermarks bound the state.
+Events have the columns id, ts (timestamp), query, item, session, position, result_count, location. Watermarks bound the state, but
+for ``stream_failed_queries``, whose state is its report: one row per failed query and place.
 """
 
 from __future__ import annotations
@@ -65,34 +66,49 @@ def affinity_at(windows: DataFrame, now, least: int = 5, half: float = 30.0) ->
 
 
 ATTRIBUTED = "session string, id long, click_count long, first_click_position int"
-STATE = "search long, ts long, clicks long, first int"
-
-
-def _attribute(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    search, at, clicks, first = state.get if state.exists else (None, None, 0, None)
-    out = []
-    rows = pd.concat(list(frames)) if not state.hasTimedOut else pd.DataFrame()
-    if len(rows):
-        rows = rows.assign(clicked=rows["item"].notna()).sort_values(["ts", "clicked", "id"])
-        for r in rows.itertuples():
-            if not r.clicked:
-                search, at, clicks, first = int(r.id), r.ts.value, 0, None
+STATE = "search long, clicks long, first int, last long, times array<long>, clicked array<boolean>, ids array<long>, positions array<int>"
+DAY_MS = 86_400_000
+
+
+def _attribute(idle_ms: int):
+    def attribute(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        search, clicks, first, last, *waiting = state.get if state.exists else (None, 0, None, 0, [], [], [], [])
+        events = list(zip(*waiting, strict=True))
+        if not state.hasTimedOut:
+            for pdf in frames:
+                events += [(int(t), bool(c), int(i), None if pd.isna(p) else int(p)) for t, c, i, p in zip(pdf["at"], pdf["clicked"], pdf["id"], pdf["position"], strict=True)]
+        events.sort(key=lambda e: e[:3])
+        mark, out, ready = state.getCurrentWatermarkMs(), [], 0
+        for at, is_click, event, position in events:
+            if at > mark * 1000:
+                break
+            ready, last = ready + 1, at // 1000
+            if not is_click:
+                search, clicks, first = event, 0, None
             elif search is not None:
                 clicks += 1
-                first = int(r.position) if first is None and pd.notna(r.position) else first
+                first = position if first is None else first
                 out.append((key[0], search, clicks, first))
-    if search is not None:
-        state.update((search, at, clicks, first))
-    yield pd.DataFrame(out, columns=["session", "id", "click_count", "first_click_position"]).astype({"first_click_position": "Int32"})
+        events = events[ready:]
+        if not events and (search is None or last + idle_ms < mark):
+            state.remove()
+        else:
+            state.update((search, clicks, first, last, *([e[k] for e in events] for k in range(4))))
+            state.setTimeoutTimestamp(max(mark + 1, events[0][0] // 1000 + 1 if events else last + idle_ms))
+        yield pd.DataFrame(out, columns=["session", "id", "click_count", "first_click_position"]).astype({"first_click_position": "Int32"})
 
+    return attribute
 
-def stream_attribution(events: DataFrame) -> DataFrame:
+
+def stream_attribution(events: DataFrame, late: str = LATE, idle_days: int = 90) -> DataFrame:
     """Each click updates its session's latest search (id): click count and first position so far, for the update output mode.
 
-    State is one small row per session. Events of a session must arrive in order of time across batches.
+    Events of a session wait until the watermark has passed them and are then taken in order of time, so files may arrive in any
+    order within ``late``. State is what waits and one small row per session, which goes after ``idle_days`` without events.
     """
-    rows = events.where("session IS NOT NULL").select(F.col("session").cast("string").alias("session"), "id", "ts", "item", "position")
-    return rows.groupBy("session").applyInPandasWithState(_attribute, ATTRIBUTED, STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late).where("session IS NOT NULL")
+    rows = rows.select(F.col("session").cast("string").alias("session"), "ts", "id", F.unix_micros("ts").alias("at"), F.col("item").isNotNull().alias("clicked"), F.col("position").cast("int").alias("position"))
+    return rows.groupBy("session").applyInPandasWithState(_attribute(idle_days * DAY_MS), ATTRIBUTED, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert_batches(apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,8 @@ def stream(spark, sf_dir, tmp_path):
     for k in range(3):
         for p in pathlib.Path(f"{path}/b={k}").glob("*.parquet"):
             shutil.copy(p, flat / f"{k}.parquet")
+        # A source takes files by their times, which copies within one millisecond would share.
+        os.utime(flat / f"{k}.parquet", (1_700_000_000 + 10 * k,) * 2)
     return jobs.read_events(spark, str(flat), rows.schema), rows
 
 
@@ -97,9 +101,16 @@ def test_affinity_stream_equals_batch(spark, stream, rows):
     assert rows(got, "query", "item", "affinity") == rows(want, "query", "item", "affinity")
 
 
-def test_attribution_stream_equals_batch(spark, stream, rows):
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_attribution_stream_equals_batch(spark, stream, rows, tmp_path, order):
     s, b = stream
-    seen = run(spark, jobs.stream_attribution(s), "update", "attributed")
+    # A last event of another session, long after the others, lets the watermark pass them.
+    last = b.limit(1).withColumn("ts", F.lit(dt.datetime(2026, 1, 1)).cast("timestamp")).withColumn("session", F.lit(-1).cast(b.schema["session"].dataType)).withColumn("item", F.lit(None).cast(b.schema["item"].dataType))
+    last.coalesce(1).write.parquet(str(tmp_path / "last"))
+    shutil.copy(next((tmp_path / "last").glob("*.parquet")), tmp_path / "flat" / "3.parquet")
+    for place, k in enumerate((*order, 3)):
+        os.utime(tmp_path / "flat" / f"{k}.parquet", (1_700_000_000 + 10 * place,) * 2)
+    seen = run(spark, jobs.stream_attribution(s, "40 days"), "update", "attributed" + "".join(map(str, order)))
     got = seen.groupBy("id").agg(F.max("click_count").alias("n"), F.max_by("first_click_position", "click_count").alias("p"))
     searches = b.where("item IS NULL").select("id", "session", "ts")
     want = A.attribute_clicks(searches, b.where("item IS NOT NULL").select("session", "ts", "position")).where("click_count > 0")
