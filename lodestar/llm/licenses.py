@@ -4,7 +4,8 @@ A word that occurs once in the text and once in the template is an anchor; the l
 kept, and the gaps between them are aligned in the same way, where words that repeat over the whole text may be unique again.
 Gaps without anchors match equal words at their ends. Coverage is the share of the template's words that are aligned. A text
 holds a license if coverage reaches the threshold and the aligned stretch of text is not much longer than the template. Windows
-of that length are aligned one by one, so that a notice that stands twice, or stray words beside it, make no word ambiguous.
+of that length are aligned one by one, so that a notice that stands twice, or stray words beside it, make no word ambiguous. The
+words that name the license and its version (``NAMING``) must be among the aligned ones.
 
 A template needs at least its threshold's share of words in the text, so texts that lack them are left out before alignment;
 this loses nothing. Templates are few and given by the caller (``TEMPLATES`` by default); each text lies whole in one task.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -44,6 +45,26 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "Proprietary": "Copyright. All rights reserved. No part of this publication may be reproduced without permission.",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+        that the above copyright notice and this permission notice appear in all copies.""",
+    "GPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "GPL-2.0-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+        License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+}
+#: Words by which a notice names its license and version: without them the rest of a notice may belong to another license.
+NAMING = {
+    "MIT": ("mit",),
+    "Apache-2.0": ("apache", "2.0"),
+    "GPL-3.0": ("gnu", "3"),
+    "GPL-2.0": ("gnu", "2"),
+    "GPL-3.0-notice": ("gnu", "3"),
+    "GPL-2.0-notice": ("gnu", "2"),
+    "CC-BY-NC-4.0": ("cc", "by-nc", "4.0"),
+    "CC-BY-4.0": ("cc", "by", "4.0"),
+    "CC-BY-SA-4.0": ("cc", "by-sa", "4.0"),
+    "CC0-1.0": ("waived", "copyright"),
+    "Proprietary": ("rights", "reserved"),
 }
 
 
@@ -136,8 +157,9 @@ def in_order(text: list[str], template: list[str]) -> Iterator[int]:
         yield len(template) - v.bit_count()
 
 
-def align(text: list[str], template: list[str], threshold: float) -> tuple[int, int, int] | None:
-    """(aligned words, first, last) of the best aligned window of a stretch, then the first; None below the threshold.
+def align(text: list[str], template: list[str], threshold: float, naming: Collection[str] = ()) -> tuple[int, int, int] | None:
+    """(aligned words, first, last) of the best aligned window of a stretch, then the first; None below the threshold or if one of
+    the naming words is not aligned.
 
     Every window that begins and ends with a word of the template, is not too long and has words enough is aligned by itself, so a
     repeated notice or stray words beside it hide nothing. Windows with most words in order come first; none aligns more.
@@ -155,7 +177,7 @@ def align(text: list[str], template: list[str], threshold: float) -> tuple[int,
                     break
                 if common == target and text[end] in known:
                     pairs = patience(text[start : end + 1], template)
-                    if len(pairs) >= least:
+                    if len(pairs) >= least and set(naming) <= {template[q] for _, q in pairs}:
                         found = (-len(pairs), start + pairs[0][0], start + pairs[-1][0])
                         best = min(best, found) if best else found
                         if len(pairs) >= target:
@@ -164,28 +186,30 @@ def align(text: list[str], template: list[str], threshold: float) -> tuple[int,
     return best and (-best[0], best[1], best[2])
 
 
-def scan(text: str | None, templates: dict[str, list[str]], threshold: float = THRESHOLD) -> tuple:
-    """The best covered template of a whole text: RESULT as a tuple."""
+def scan(text: str | None, templates: dict[str, list[str]], threshold: float = THRESHOLD, naming: dict[str, tuple[str, ...]] | None = None) -> tuple:
+    """The best covered template of a whole text: RESULT as a tuple. naming: words that must be aligned, by template."""
     own, best = words(text), None
     have = Counter(own)
     for name, template in templates.items():
-        if sum(min(n, have[w]) for w, n in Counter(template).items()) < threshold * len(template) - 1e-9:
+        named = (naming or {}).get(name, ())
+        if not all(have[w] for w in named) or sum(min(n, have[w]) for w, n in Counter(template).items()) < threshold * len(template) - 1e-9:
             continue
         for first, last in windows(own, template, threshold):
-            if aligned := align(own[first : last + 1], template, threshold):
+            if aligned := align(own[first : last + 1], template, threshold, named):
                 n, start, end = aligned
                 found = (-n / len(template), -len(template), name, first + start, first + end, n)
                 best = min(best, found) if best else found
     return (None, 0.0, 0, None, None) if best is None else (best[2], -best[0], best[5], best[3], best[4])
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, license, coverage, n_aligned, first_word, last_word) of every row."""
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, naming: dict[str, tuple[str, ...]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, license, coverage, n_aligned, first_word, last_word) of every row. Own templates have no naming words by default."""
     known = {k: words(v) for k, v in (templates or TEMPLATES).items() if words(v)}
+    named = naming if naming is not None or templates else NAMING
 
     @F.pandas_udf(RESULT)
     def result(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([scan(t, known, threshold) for t in texts], columns=["license", "coverage", "n_aligned", "first_word", "last_word"])
+        out = pd.DataFrame([scan(t, known, threshold, named) for t in texts], columns=["license", "coverage", "n_aligned", "first_word", "last_word"])
         return out.astype({"first_word": "Int64", "last_word": "Int64"})
 
     return docs.select(F.col(doc_id).alias("doc_id"), result(F.col(text)).alias("_r")).select("doc_id", "_r.*")

@@ -380,6 +380,24 @@ def test_url_rules_and_model(spark):
     assert seeds.where((F.col("page_id") == 1) != (F.col("verdict") == "block")).count() == 0
 
 
+def test_url_threshold_of_seeds_left_out(spark):
+    """The threshold's figures: each seed is judged by a model that has not seen it."""
+    rows = url_filter.seed_table(spark).withColumn("g", url_filter.grams(url_filter.host(F.col("url")), url_filter.path(F.col("url")))).collect()
+    x = np.zeros((len(rows), url_filter.BUCKETS))
+    for i, r in enumerate(rows):
+        x[i, r.g] = 1 / math.sqrt(len(r.g))
+    y, p = np.array([r.bad for r in rows], float), []
+    for i in range(len(rows)):
+        keep = np.arange(len(rows)) != i
+        w, b = np.zeros(url_filter.BUCKETS), 0.0
+        for _ in range(150):
+            step = y[keep] - 1 / (1 + np.exp(-(x[keep] @ w + b)))
+            w, b = w * 0.995 + 0.5 * x[keep].T @ step, b * 0.995 + 0.5 * step.sum()
+        p.append(1 / (1 + np.exp(-(x[i] @ w + b))))
+    blocked = np.array(p) >= url_filter.THRESHOLD
+    assert blocked[y == 1].mean() > 0.75 and not blocked[y == 0].any()
+
+
 def test_url_model_equals_plain_gradient_descent(spark):
     rows = url_filter.seed_table(spark).withColumn("g", url_filter.grams(url_filter.host(F.col("url")), url_filter.path(F.col("url")))).collect()
     w, b = np.zeros(url_filter.BUCKETS), 0.0
@@ -427,6 +445,20 @@ def test_licenses_of_repeated_notices_equal_brute_force():
         assert (got[0], got[2], got[3]) == (("MIT", -best[0], best[1]) if best else (None, 0, None))
 
 
+def test_licenses_are_named(spark):
+    texts = {
+        "Released under the BSD License.": None,
+        "released under the new license": None,
+        "This work is licensed under the GNU General Public License, version 1.": None,
+        "Licensed under CC BY 3.0.": None,
+        "Licensed under the Apache License, Version 1.1.": None,
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "the license says Released under the MIT License and again Released under the MIT License the": "MIT",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(df).collect()} == dict(enumerate(texts.values()))
+
+
 def test_main_text_of_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in main_text.extract(pages).collect()}
