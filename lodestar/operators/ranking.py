@@ -333,7 +333,7 @@ def boost_sub_intent(df: DataFrame, by_text: Column, by_category: Column, factor
 def penalise_off_category(df: DataFrame, owned: DataFrame, broad: list[str] = (), factor: float = 0.30, label: str = "primary", category: str = "category") -> DataFrame:
     """Rows outside the categories of the query's label keep 30 %, unless the label is broad or owns none. owned: (label, category)."""
     sets = owned.groupBy(F.col("label").alias("_l")).agg(F.collect_set("category").alias("_own"))
-    joined = df.join(F.broadcast(sets), F.col(label) == F.col("_l"), "left")
+    joined = df.join(sets, F.col(label) == F.col("_l"), "left")
     off = F.col("_own").isNotNull() & ~F.col(label).isin(list(broad) or [""]) & ~true(F.array_contains("_own", F.col(category)))
     return multiply(joined, [(off, factor)], 2).drop("_l", "_own")
 
@@ -390,7 +390,7 @@ def route_tier(queries: DataFrame, by_alias: DataFrame, lexical: DataFrame, plai
 def fallback_terms(queries: DataFrame, results: DataFrame, broad: DataFrame, label: str = "primary") -> DataFrame:
     """Queries without results, with the broad terms of their label as text. broad: (label, terms)."""
     empty = queries.join(results.select("query_id"), "query_id", "left_anti")
-    return empty.join(F.broadcast(broad.select(F.col("label").alias(label), F.col("terms").alias("_t"))), label).withColumn("text", F.col("_t")).drop("_t")
+    return empty.join(broad.select(F.col("label").alias(label), F.col("terms").alias("_t")), label).withColumn("text", F.col("_t")).drop("_t")
 
 
 def diversify(df: DataFrame, key: Column, most: int = 2, depth: int = 15, exempt: Column | None = None) -> DataFrame:
@@ -407,7 +407,7 @@ def diversify(df: DataFrame, key: Column, most: int = 2, depth: int = 15, exempt
 def diversify_categories(df: DataFrame, groups: DataFrame, most: int = 3, depth: int = 15, category: str = "category") -> DataFrame:
     """As diversify, over broad groups of categories. groups: (category, group); other categories are their own group."""
     g = groups.select(F.col("category").alias("_c"), F.col("group").alias("_g"))
-    joined = df.join(F.broadcast(g), F.col(category) == F.col("_c"), "left")
+    joined = df.join(g, F.col(category) == F.col("_c"), "left")
     return diversify(joined, F.coalesce("_g", category), most, depth).drop("_c", "_g")
 
 
@@ -471,8 +471,8 @@ def hotline_list(items: DataFrame, queries: DataFrame, fixed_id: object, kinds:
     q = queries.select("query_id", F.lower(F.trim("location")).alias("_place"))
     local = q.withColumn("_l", F.col("_place")).join(i.withColumn("_l", F.explode(F.array_distinct(F.split(F.lower("location"), r"\s*,\s*")))), "_l").select("query_id", "item_id", "name", F.lit(1).alias("_tier"), "_kind")
     wide = i.where(contains("location", region) | blank("location")).withColumn("_one", F.lit(1))
-    everywhere = q.select("query_id", F.lit(1).alias("_one")).join(F.broadcast(wide), "_one").select("query_id", "item_id", "name", F.lit(2).alias("_tier"), "_kind")
-    fixed = q.select("query_id", F.lit(1).alias("_one")).join(F.broadcast(i.where(F.col("item_id") == fixed_id).withColumn("_one", F.lit(1))), "_one").select("query_id", "item_id", "name", F.lit(0).alias("_tier"), "_kind")
+    everywhere = q.select("query_id", F.lit(1).alias("_one")).join(wide, "_one").select("query_id", "item_id", "name", F.lit(2).alias("_tier"), "_kind")
+    fixed = q.select("query_id", F.lit(1).alias("_one")).join(i.where(F.col("item_id") == fixed_id).withColumn("_one", F.lit(1)), "_one").select("query_id", "item_id", "name", F.lit(0).alias("_tier"), "_kind")
     rows = local.unionByName(everywhere).unionByName(fixed).groupBy("query_id", "item_id", "name").agg(F.min(F.struct("_tier", "_kind")).alias("_o"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_o", "name", "item_id"))).drop("_o")
 
