@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.common import blank, contains, matches, top, true
-from lodestar.functions.text import raw_trigrams, stem, trigrams
+from lodestar.functions.text import jaccard, raw_trigrams, stem, trigrams
 
 #: Weights of the field classes A to D.
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -61,19 +61,48 @@ def fulltext_search(queries: DataFrame, postings: DataFrame, n: int = 50, requir
     return top(found, ["query_id"], by_score(), n)
 
 
+def _fuzzy_pairs(queries: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, item_id) that may have a trigram Jaccard of at least the threshold, from (query_id, _t) and (item_id, _t).
+
+    An item within the threshold has one of the query's rarest trigrams, as many as it can lack and one more; so the most common
+    ones, which nearly every item has, are joined with nothing.
+    """
+    grams = items.select("item_id", F.size("_t").alias("_ni"), F.explode("_t").alias("g"))
+    flat = queries.select("query_id", F.size("_t").alias("_nq"), F.explode("_t").alias("g")).join(grams.groupBy("g").agg(F.count("*").alias("_df")), "g")
+    ordered = flat.groupBy("query_id", "_nq").agg(F.array_sort(F.collect_list(F.struct("_df", "g"))).alias("_o"))
+    # Trigrams that no item has are the rarest ones, and are no longer among these.
+    keep = F.size("_o") - F.ceil(F.col("_nq") * threshold - 1e-9).cast("int") + 1
+    rare = ordered.select("query_id", "_nq", F.explode(F.slice("_o", F.lit(1), F.greatest(keep, F.lit(0)))["g"]).alias("g"))
+    near = F.least("_nq", "_ni") >= threshold * F.greatest("_nq", "_ni") - 1e-9
+    return rare.join(grams, "g").where(near).select("query_id", "item_id").distinct()
+
+
 def fuzzy_search(queries: DataFrame, items: DataFrame, fields: dict[str, float], threshold: float = 0.3, n: int = 20, key: str = "id") -> DataFrame:
-    """Greatest weighted trigram similarity over fields, above the threshold. Trigram postings, counted per pair."""
-    q = queries.select("query_id", trigrams("text").alias("_t")).select("query_id", F.size("_t").alias("_nq"), F.explode("_t").alias("g"))
+    """Greatest weighted trigram similarity over fields, above the threshold: rarest-first postings, then whole sets."""
+    q = queries.select("query_id", trigrams("text").alias("_t"))
     best = None
     for name, weight in fields.items():
-        i = items.select(F.col(key).alias("item_id"), trigrams(name).alias("_t")).select("item_id", F.size("_t").alias("_ni"), F.explode("_t").alias("g"))
-        common = q.join(i, "g").groupBy("query_id", "item_id", "_nq", "_ni").agg(F.count("*").alias("_c"))
-        part = common.select("query_id", "item_id", (weight * F.col("_c") / (F.col("_nq") + F.col("_ni") - F.col("_c"))).alias("score"))
+        i = items.select(F.col(key).alias("item_id"), trigrams(name).alias("_t"))
+        pairs = _fuzzy_pairs(q, i, (threshold - 1e-6) / weight).join(q.withColumnRenamed("_t", "_tq"), "query_id").join(i, "item_id")
+        part = pairs.select("query_id", "item_id", (weight * jaccard(F.col("_tq"), F.col("_t"))).alias("score"))
         best = part if best is None else best.unionByName(part)
     found = best.groupBy("query_id", "item_id").agg(F.round(F.max("score"), 6).alias("score")).where(F.col("score") > threshold)
     return top(found, ["query_id"], by_score(), n)
 
 
+def _containing_pairs(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, item_id) of items one of whose texts (item_id, _x) may contain the query (query_id, _q), in lower case.
+
+    They meet by the query's rarest run of three characters, or by the query itself if it is shorter.
+    """
+    runs = [F.regexp_extract_all("_x", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in (1, 2, 3)]
+    postings = texts.select("item_id", F.explode(F.array_distinct(F.concat(*runs))).alias("g"))
+    parts = F.when(F.length("_q") < 3, F.array("_q")).otherwise(raw_trigrams("_q"))
+    counted = queries.select("query_id", F.explode(parts).alias("g")).join(postings.groupBy("g").agg(F.count("*").alias("_df")), "g")
+    rarest = counted.groupBy("query_id").agg(F.min(F.struct("_df", "g"))["g"].alias("g"))
+    return rarest.join(postings, "g").select("query_id", "item_id")
+
+
 @dataclass(frozen=True)
 class Relevance:
     """Weights of the composite relevance score."""
@@ -113,32 +142,31 @@ def place_points(place: Column, wanted: Column, w: Relevance, region: str = "pro
     return F.when(blank(wanted), 0.0).when(contains(place, wanted), float(w.place)).when(contains(place, region), float(w.region)).otherwise(float(w.elsewhere))
 
 
-def relevance_search(queries: DataFrame, items: DataFrame, now: Column, weights: Relevance = CURRENT, n: int = 50, key: str = "id", fields: dict[str, str] | None = None) -> DataFrame:
+def relevance_search(queries: DataFrame, items: DataFrame, now: Column, weights: Relevance = CURRENT, n: int = 50, key: str = "id", fields: dict[str, str] | None = None, least: float = 0.3) -> DataFrame:
     """Composite score of the items that share a term or enough trigrams with a query or contain it in name or tags.
 
-    Candidates come from postings joins; only they are joined with their rows and scored in one projection.
+    Candidates come from postings joins, and all of them are scored: rows are cut after scoring only, as clicks and place can
+    lift an item above nearer texts. A blank query finds nothing.
     """
     fields = fields or {"name": "A", "category": "B", "description": "B"}
     postings = index_terms(items, fields, key)
     hits = query_terms(queries).join(postings, "term").groupBy("query_id", "item_id").agg(F.sum("weight").alias("_r"), (F.count("*") == F.max("n_terms")).alias("_all"))
-    text = F.lower(F.concat_ws(" ", "name", "category", "description"))
-    fuzzy = fuzzy_search(queries, items.withColumn("_text", text), {"_text": 1.0}, 0.3, n, key).select("query_id", "item_id")
-    q = queries.select("query_id", F.lower(F.trim("text")).alias("_q"), F.lower(F.trim("location")).alias("_place"))
-    words = items.select(F.col(key).alias("item_id"), F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "name", F.array_join("tags", " "))), r"\s+"))).alias("_w"))
-    word = F.split("_q", r"\s+")[0]
-    named = q.withColumn("_w", word).join(words, "_w").select("query_id", "item_id")
+    tags = F.array_join("tags", " ")
+    q = queries.select("query_id", F.lower(F.trim("text")).alias("_q"), F.lower(F.trim("location")).alias("_place"), trigrams("text").alias("_tq"))
+    i = items.withColumnRenamed(key, "item_id").withColumn("_t", trigrams(F.concat_ws(" ", "name", "category", "description")))
+    fuzzy = _fuzzy_pairs(q.select("query_id", F.col("_tq").alias("_t")), i.select("item_id", "_t"), least)
+    named = _containing_pairs(q.select("query_id", "_q"), i.select("item_id", F.explode(F.array(F.lower("name"), F.lower(tags))).alias("_x")))
     pairs = hits.select("query_id", "item_id").unionByName(fuzzy).unionByName(named).distinct()
-    rows = pairs.join(q, "query_id").join(items.withColumnRenamed(key, "item_id"), "item_id").join(hits, ["query_id", "item_id"], "left")
+    rows = pairs.join(q, "query_id").join(i, "item_id").join(hits, ["query_id", "item_id"], "left").withColumn("_sim", jaccard(F.col("_tq"), F.col("_t")))
+    rows = rows.where(F.col("_r").isNotNull() | (F.col("_sim") > least) | contains("name", F.col("_q")) | contains(tags, F.col("_q")))
     r = F.coalesce(F.col("_r") / (F.col("_r") + 1), F.lit(0.0))
-    sim = F.size(F.array_intersect(trigrams("_q"), trigrams(F.concat_ws(" ", "name", "category", "description"))))
-    sim = sim / (F.size(trigrams("_q")) + F.size(trigrams(F.concat_ws(" ", "name", "category", "description"))) - sim)
     score = (
         weights.any_term * r
         + F.when(true(F.col("_all")), weights.all_terms * r).otherwise(0.0)
-        + weights.trigram * F.coalesce(sim, F.lit(0.0))
+        + weights.trigram * F.col("_sim")
         + F.when(contains("name", F.col("_q")), float(weights.name)).otherwise(0.0)
         + F.when(contains("category", F.col("_q")), float(weights.category)).otherwise(0.0)
-        + F.when(contains(F.array_join("tags", " "), F.col("_q")), float(weights.tag)).otherwise(0.0)
+        + F.when(contains(tags, F.col("_q")), float(weights.tag)).otherwise(0.0)
         + place_points(F.col("location"), F.col("_place"), weights)
         + click_points(F.col("click_count"), weights.clicks)
         + recency_points(F.col("last_updated"), now, weights.recent)

@@ -132,7 +132,35 @@ def fulltext_topk(spark, sf_dir):
     return R.fulltext_search(term_queries(spark, sf_dir), R.index_terms(rows, {"name": "A", "category": "B"}))
 
 
-@query(None)
+def _stem_sql(w: str) -> str:
+    cases = " ".join(f"WHEN {w} LIKE '%{s}' AND length({w}) - {len(s)} + {len(n)} >= 3 THEN left({w}, length({w}) - {len(s)}) || '{n}'" for s, n in T.SUFFIXES)
+    return f"CASE WHEN length({w}) <= 4 THEN {w} {cases} ELSE {w} END"
+
+
+def _words_sql(text: str, least: int) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= {least})"
+
+
+def _grams_sql(text: str) -> str:
+    return f"list_distinct(flatten(list_transform({_words_sql(text, 1)}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+_RELEVANCE = f"""tagged AS (SELECT *, lower(category) AS tags, {_grams_sql("name || ' ' || category || ' ' || description")} AS t FROM items),
+asked AS (SELECT *, lower(trim(text)) AS q, lower(trim(location)) AS place, {_grams_sql("text")} AS u FROM terms),
+qt AS (SELECT DISTINCT query_id, {_stem_sql("w")} AS term FROM (SELECT query_id, unnest({_words_sql("text", 2)}) AS w FROM terms)),
+post AS (SELECT {_stem_sql("w")} AS term, item_id, max(weight) AS weight FROM (SELECT unnest({_words_sql("name", 2)}) AS w, id AS item_id, 1.0::DOUBLE AS weight FROM items
+  UNION ALL SELECT unnest({_words_sql("category", 2)}), id, 0.4 FROM items UNION ALL SELECT unnest({_words_sql("description", 2)}), id, 0.4 FROM items) GROUP BY 1, 2),
+hit AS (SELECT query_id, item_id, sum(weight) / (sum(weight) + 1) AS r, count(*) = max(n) AS every FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM qt) JOIN post USING (term) GROUP BY 1, 2),
+met AS (SELECT a.query_id, i.id AS item_id, a.q, a.place, i.*, coalesce(r, 0) AS r, r IS NOT NULL AS hit, coalesce(every, false) AS every, len(list_intersect(t, u)) * 1.0::DOUBLE / (len(t) + len(u) - len(list_intersect(t, u))) AS sim
+  FROM asked a CROSS JOIN tagged i LEFT JOIN hit ON hit.query_id = a.query_id AND hit.item_id = i.id),
+relevance AS (SELECT query_id, item_id, round(80 * r + CASE WHEN every THEN 40 * r ELSE 0 END + 50 * sim + CASE WHEN contains(lower(name), q) THEN 80 ELSE 0 END + CASE WHEN contains(lower(category), q) THEN 40 ELSE 0 END + CASE WHEN contains(tags, q) THEN 30 ELSE 0 END
+  + CASE WHEN place IS NULL OR place = '' THEN 0 WHEN contains(lower(location), place) THEN 15 WHEN contains(lower(location), 'province') THEN 5 ELSE -30 END
+  + CASE WHEN click_count > 0 THEN least(10 * ln(click_count + 1), 70) ELSE 0 END
+  + CASE WHEN last_updated > TIMESTAMP '2024-01-31' - INTERVAL 30 DAYS THEN 15 WHEN last_updated > TIMESTAMP '2024-01-31' - INTERVAL 90 DAYS THEN 10 WHEN last_updated < TIMESTAMP '2024-01-31' - INTERVAL 365 DAYS THEN -5 ELSE 0 END, 6) AS score
+  FROM met WHERE hit OR sim > 0.3 OR contains(lower(name), q) OR contains(tags, q))"""
+
+
+@query(with_(TERMS, ITEMS, _RELEVANCE) + "SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM relevance WHERE score > 0) WHERE rank <= 50")
 def relevance_topk(spark, sf_dir):
     return R.relevance_search(term_queries(spark, sf_dir), items(spark, sf_dir).withColumn("tags", F.array(F.lower("category"))), now())
 
