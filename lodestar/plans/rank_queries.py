@@ -165,21 +165,41 @@ def relevance_topk(spark, sf_dir):
     return R.relevance_search(term_queries(spark, sf_dir), items(spark, sf_dir).withColumn("tags", F.array(F.lower("category"))), now())
 
 
-@query(None)
+_LOCATED = """s AS (SELECT query_id, items.id AS item_id, 100.0 + CASE WHEN click_count > 0 THEN least(10 * ln(click_count + 1), 70) ELSE 0 END + CASE WHEN last_updated > TIMESTAMP '2024-01-31' - INTERVAL 30 DAYS THEN 15 WHEN last_updated > TIMESTAMP '2024-01-31' - INTERVAL 90 DAYS THEN 10 WHEN last_updated < TIMESTAMP '2024-01-31' - INTERVAL 365 DAYS THEN -5 ELSE 0 END
+  + CASE WHEN phone IS NOT NULL THEN 5 ELSE 0 END + 5 AS s, items.location ILIKE '%' || terms.location || '%' AS here, items.location ILIKE '%province%' AS wide FROM terms, items WHERE terms.location IS NOT NULL),
+located AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id, item_id, round(CASE WHEN here THEN s ELSE s - 50 END, 6) AS score FROM s WHERE here OR wide))"""
+_SPOKEN = "spoken AS (SELECT query_id, concat_ws(' ', text, lower(location)) AS text, location, location_only FROM terms)"
+
+
+@query(with_(TERMS, ITEMS, _SPOKEN, *(part.replace("FROM terms", "FROM spoken").replace("terms.", "spoken.") for part in (_RELEVANCE, _LOCATED))) + """, named AS (SELECT DISTINCT query_id, id AS item_id FROM spoken JOIN items ON lower(trim(text)) = lower(name)),
+others AS (SELECT * FROM spoken WHERE query_id NOT IN (SELECT query_id FROM named))
+SELECT query_id, item_id, 500.0::DOUBLE AS score, 'alias' AS branch FROM named
+UNION ALL SELECT query_id, item_id, score, 'location' FROM located WHERE rank <= 50 AND query_id IN (SELECT query_id FROM others WHERE location_only)
+UNION ALL SELECT query_id, item_id, score, 'general' FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM relevance WHERE score > 0) WHERE rank <= 50 AND query_id IN (SELECT query_id FROM others WHERE NOT location_only)""")
 def fast_search(spark, sf_dir):
-    q, rows = term_queries(spark, sf_dir), items(spark, sf_dir).withColumn("tags", F.array(F.lower("category")))
-    aliases = rows.where("id % 100 = 0").select(F.col("name").alias("alias"), F.col("id").alias("item_id"))
+    """Queries that name a place as well are no alias, so each branch has some."""
+    q = term_queries(spark, sf_dir).withColumn("text", F.concat_ws(" ", "text", F.lower("location")))
+    rows = items(spark, sf_dir).withColumn("tags", F.array(F.lower("category")))
+    aliases = rows.select(F.col("name").alias("alias"), F.col("id").alias("item_id"))
     return R.fast_search(q, J.alias_search(q, aliases, rows), R.location_search(q, rows, now()), R.relevance_search(q, rows, now()))
 
 
-@query(with_(TERMS, ITEMS) + """, s AS (SELECT query_id, items.id AS item_id, 100.0 + CASE WHEN click_count > 0 THEN least(10 * ln(click_count + 1), 70) ELSE 0 END + CASE WHEN last_updated > TIMESTAMP '2024-01-31' - INTERVAL 30 DAYS THEN 15 WHEN last_updated > TIMESTAMP '2024-01-31' - INTERVAL 90 DAYS THEN 10 WHEN last_updated < TIMESTAMP '2024-01-31' - INTERVAL 365 DAYS THEN -5 ELSE 0 END
-  + CASE WHEN phone IS NOT NULL THEN 5 ELSE 0 END + 5 AS s, items.location ILIKE '%' || terms.location || '%' AS here, items.location ILIKE '%province%' AS wide FROM terms, items WHERE terms.location IS NOT NULL)
-SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id, item_id, round(CASE WHEN here THEN s ELSE s - 50 END, 6) AS score FROM s WHERE here OR wide)) WHERE rank <= 50""".replace("\n, s", ", s", 1))
+@query(with_(TERMS, ITEMS, _LOCATED) + "SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM located WHERE rank <= 50")
 def location_topk(spark, sf_dir):
     return R.location_search(term_queries(spark, sf_dir), items(spark, sf_dir), now())
 
 
-@query(None)
+def _runs_sql(text: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({text}) - 1), lambda i: substr({text}, i, 3)))"
+
+
+@query(with_(TERMS, ITEMS) + f""", p AS (SELECT query_id AS prefix_id, lower(trim(substr(text, 1, 4))) AS p FROM terms),
+e AS (SELECT *, lower(text) AS t FROM (SELECT DISTINCT 'item' AS kind, name AS text FROM items UNION ALL SELECT DISTINCT 'category', category FROM items) WHERE trim(text) <> ''),
+m AS (SELECT prefix_id, kind, text, p, t, {_runs_sql("p")} AS a, {_runs_sql("t")} AS b FROM p CROSS JOIN e WHERE length(p) >= 2),
+c AS (SELECT *, len(list_intersect(a, b)) AS n FROM m),
+f AS (SELECT prefix_id, kind, text, round(greatest(CASE WHEN starts_with(t, p) THEN 1 ELSE 0 END, CASE WHEN contains(t, p) THEN 0.7 ELSE 0 END, CASE WHEN n >= 0.25 * greatest(len(a) + len(b) - n, 1) THEN 0.6::DOUBLE * n / greatest(len(a) + len(b) - n, 1) ELSE 0 END)::DOUBLE, 6) AS score FROM c WHERE n > 0 OR starts_with(t, p)),
+k AS (SELECT *, row_number() OVER (PARTITION BY prefix_id, kind ORDER BY score DESC, text) AS k FROM f WHERE score > 0)
+SELECT prefix_id, kind, text, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prefix_id ORDER BY score DESC, kind, text) AS rank FROM k WHERE k <= CASE kind WHEN 'item' THEN 4 ELSE 2 END) WHERE rank <= 7""")
 def suggestions(spark, sf_dir):
     rows = items(spark, sf_dir)
     prefixes = term_queries(spark, sf_dir).select(F.col("query_id").alias("prefix_id"), F.substring("text", 1, 4).alias("text"))
