@@ -99,10 +99,13 @@ def boosted(spark, sf_dir):
 
 # -- text search -----------------------------------------------------------------------------------------------------------
 
-@query(with_(TERMS, ITEMS) + """, w AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 2))) AS w FROM terms),
-p AS (SELECT id AS item_id, unnest(list_distinct(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'))) AS w, 100.0 AS p FROM items UNION ALL SELECT id, unnest(list_distinct(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'))), 30.0 FROM items)
-SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
-  SELECT query_id, item_id, CAST(sum(p) + 2 * any_value(click_count) AS DOUBLE) AS score FROM w JOIN p USING (w) JOIN items ON item_id = items.id GROUP BY 1, 2)) WHERE rank <= 50""".replace("\n, w", ", w", 1))
+_KEYWORD = """w AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 2))) AS w FROM terms),
+p AS (SELECT id AS item_id, unnest(list_distinct(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'))) AS w, 100.0 AS p FROM items UNION ALL SELECT id, unnest(list_distinct(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'))), 30.0 FROM items),
+keyword AS (SELECT query_id, item_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (
+  SELECT query_id, item_id, CAST(sum(p) + 2 * any_value(click_count) AS DOUBLE) AS score FROM w JOIN p USING (w) JOIN items ON item_id = items.id GROUP BY 1, 2)) WHERE rank <= 50)"""
+
+
+@query(with_(TERMS, ITEMS, _KEYWORD) + "SELECT * FROM keyword")
 def keyword_topk(spark, sf_dir):
     return R.keyword_search(term_queries(spark, sf_dir), items(spark, sf_dir), {"name": 100, "description": 30}, clicks="click_count")
 
@@ -211,13 +214,15 @@ _RULES = [("r1", 1, "g1", None, "brass|tin", None, 30.0, False), ("r2", 2, "g1",
 _GATES = [("g1", "a", None, ["g3"], None), ("g2", "e", None, None, ["g1"]), ("g3", "zz", None, None, None)]
 
 
-@query(with_(TERMS, ITEMS) + """, g AS (SELECT query_id, regexp_matches(text, 'a', 'i') AND NOT regexp_matches(text, 'zz', 'i') AS g1, regexp_matches(text, 'e', 'i') AND regexp_matches(text, 'a', 'i') AS g2 FROM terms)
-SELECT query_id, id AS item_id, 10.0 + CASE WHEN g1 AND regexp_matches(name || ' ' || category || ' ' || description, 'brass|tin', 'i') THEN 30 ELSE 0 END + CASE WHEN g1 AND regexp_matches(name, 're', 'i') AND NOT regexp_matches(name, '^x', 'i') THEN 10 ELSE 0 END
-  + CASE WHEN g2 AND regexp_matches(category, '#1', 'i') THEN -5 ELSE 0 END AS score FROM g, items WHERE items.id % 50 = query_id % 50""".replace("\n, g", ", g", 1).replace("10.0 +", "CAST(10.0 +").replace("END AS score", "END AS DOUBLE) AS score"))
+@query(with_(TERMS, ITEMS, _KEYWORD) + """, g AS (SELECT query_id, regexp_matches(text, 'a', 'i') AND NOT regexp_matches(text, 'zz', 'i') AS g1, regexp_matches(text, 'e', 'i') AND regexp_matches(text, 'a', 'i') AS g2 FROM terms)
+SELECT query_id, item_id, CAST(score + CASE WHEN g1 AND regexp_matches(name || ' ' || category || ' ' || description, 'brass|tin', 'i') THEN 30 ELSE 0 END + CASE WHEN g1 AND regexp_matches(name, 're', 'i') AND NOT regexp_matches(name, '^x', 'i') THEN 10 ELSE 0 END
+  + CASE WHEN g2 AND regexp_matches(category, '#1', 'i') THEN -5 ELSE 0 END AS DOUBLE) AS score FROM keyword JOIN g USING (query_id) JOIN items ON items.id = item_id""".replace("\n, g", ", g", 1))
 def rule_boost(spark, sf_dir):
-    rows = items(spark, sf_dir).select("id", "name", "category", "description")
+    """Boosts the items that a keyword search over all items finds."""
+    rows = items(spark, sf_dir)
     q = term_queries(spark, sf_dir)
-    pairs = q.select("query_id", (F.col("query_id") % 50).alias("m")).join(rows.select(F.col("id").alias("item_id"), (F.col("id") % 50).alias("m")), "m").select("query_id", "item_id", F.lit(10.0).alias("score"))
+    pairs = R.keyword_search(q, rows, {"name": 100, "description": 30}, clicks="click_count").select("query_id", "item_id", "score")
+    rows = rows.select("id", "name", "category", "description")
     gates = spark.createDataFrame(_GATES, "gate string, gate_pattern string, gate_label string, gate_unless array<string>, requires array<string>")
     rules = spark.createDataFrame(_RULES, "rule_id string, ordinal int, gate string, item_field string, item_pattern string, item_not_pattern string, points double, only_if_zero boolean")
     return R.boost_by_rules(pairs, q, rows, gates, rules)
