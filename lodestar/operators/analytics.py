@@ -77,6 +77,11 @@ def no_click_queries(log: DataFrame, n: int = 20) -> DataFrame:
     return rows.groupBy("query").agg(F.count("*").alias("searches"), F.max("result_count").alias("most_results")).orderBy(F.desc("searches"), "query").limit(n)
 
 
+def volume_no_clicks(log: DataFrame, now: Column, n: int = 10) -> DataFrame:
+    """The queries of the last seven days that were searched most without a click."""
+    return no_click_queries(since(log, 7, now), n)
+
+
 def session_depth(log: DataFrame, n: int = 10) -> DataFrame:
     depth = log.where("session IS NOT NULL").groupBy("session").agg(F.count("*").alias("depth"))
     return depth.groupBy("depth").agg(F.count("*").alias("sessions")).orderBy("depth").limit(n)

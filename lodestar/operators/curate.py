@@ -323,8 +323,10 @@ def merge_group(items: DataFrame, groups: DataFrame, key: str = "id", longest: t
 
 def deactivate_into(items: DataFrame, pairs: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     """Deactivate ``id`` and let its ``keeper`` take the values of fields that it lacks."""
-    values = pairs.join(items, pairs["id"] == items[key]).groupBy("keeper").agg(*(F.min_by(F.when(~blank(f, True), F.col(f)), F.when(~blank(f, True), items[key])).alias(f) for f in fields)).withColumnRenamed("keeper", key)
-    return set_active(fill_empty(items, values, fields, key).drop("changed_fields"), pairs.select("id"), False, key)
+    gone = pairs.select(F.col("id").alias("_gone"), F.col("keeper").alias("_keeper"))
+    lost = items.select(F.col(key).alias("_id"), *fields).join(gone, F.col("_id") == F.col("_gone"))
+    values = lost.groupBy("_keeper").agg(*(F.min_by(F.when(~blank(f, True), F.col(f)), F.when(~blank(f, True), F.col("_id"))).alias(f) for f in fields)).withColumnRenamed("_keeper", key)
+    return set_active(fill_empty(items, values, fields, key).drop("changed_fields"), pairs.select(F.col("id").alias(key)), False, key)
 
 
 def apply_requests(items: DataFrame, requests: DataFrame, allowed: list[str], now: Column, nullable: tuple[str, ...] = (), key: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -103,6 +103,12 @@ def check_results(cases: DataFrame, results: DataFrame) -> DataFrame:
     return j.select("query_id", F.when(bad, "fail").when(found("_a"), "pass").when(found("_b"), "warning").otherwise("fail").alias("verdict"))
 
 
+def score_band(score: str | Column) -> Column:
+    """pass from 80, warning from 60, else fail."""
+    c = F.col(score) if isinstance(score, str) else score
+    return F.when(c >= 80, "pass").when(c >= 60, "warning").otherwise("fail")
+
+
 def evaluation_report(scores: DataFrame, least: int = 2) -> DataFrame:
     """(issue, queries): failures that occur in several queries."""
     return scores.select("query_id", F.explode(F.array_distinct("failures")).alias("issue")).groupBy("issue").agg(F.count_distinct("query_id").alias("queries")).where(F.col("queries") >= least)

@@ -60,6 +60,17 @@ def list_items(df: DataFrame, spec: Listing, semi: DataFrame | None = None, on:
     return page, rows.agg(F.count("*").alias("total"))
 
 
+def list_change_requests(requests: DataFrame, page: int = 1, size: int = 25, **equal: object) -> tuple[DataFrame, DataFrame]:
+    """(page, total) of change requests, newest first; ``equal`` holds what status, source, change_type or batch must be."""
+    return list_items(requests, Listing(equal=equal, sort="created_at", descending=True, page=page, size=size))
+
+
+def list_feedback(feedback: DataFrame, page: int = 1, size: int = 25, **equal: object) -> tuple[DataFrame, DataFrame]:
+    """(page, counts) of feedback, newest first; counts holds ``total`` of the listed rows and ``new`` of all rows."""
+    rows, total = list_items(feedback, Listing(equal=equal, sort="created_at", descending=True, page=page, size=size))
+    return rows, total.join(feedback.agg(F.count_if(F.col("status") == "new").alias("new")))
+
+
 def location_match(location: str | Column, wanted: list[str] | str, region_wide: tuple[str, ...] = REGION_WIDE) -> Column:
     """Blank location, one that contains a wanted place (a list or comma-separated), or a region-wide one."""
     places = [p.strip() for p in (wanted.split(",") if isinstance(wanted, str) else wanted) if p.strip()]

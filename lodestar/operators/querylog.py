@@ -161,13 +161,15 @@ def detect(queries: DataFrame, detectors: dict[str, list[tuple[str, str]]] | Non
     return queries.withColumns({name: first_label(text, p) for name, p in (detectors or DETECTORS).items()})
 
 
-def query_context(queries: DataFrame, needs: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """Adds who searches, for whom, and the needs that labels imply. needs: label -> implied needs."""
+def query_context(queries: DataFrame, needs: dict[str, list[str]], text: str = "text", contexts: dict[str, str] | None = None) -> DataFrame:
+    """Adds who searches, for whom, in which contexts, and the needs that labels imply. needs: label -> implied needs; contexts: name -> pattern."""
     relative = matches(text, r"\b(my|our) (son|daughter|husband|wife|partner|mother|father|brother|sister|parent|child|kid|friend)\b")
     helper = matches(text, r"\b(client|patient|resident|caseworker|social worker)s?\b")
     out = queries.withColumn("searcher", F.when(relative, "relative").when(helper, "professional").otherwise("self"))
     out = out.withColumn("target", F.when(relative | helper, F.regexp_extract(F.lower(text), r"\b(son|daughter|husband|wife|partner|mother|father|brother|sister|parent|child|kid|friend|client|patient)\b", 1)).otherwise("self"))
     implied = F.array(*(F.when(F.array_contains("labels", label), F.array(*map(F.lit, n))) for label, n in needs.items()))
+    named = [F.when(matches(text, p), c) for c, p in (contexts or {}).items()]
+    out = out.withColumn("contexts", F.array_compact(F.array(*named)) if named else F.array().cast("array<string>"))
     return out.withColumn("needs", F.array_distinct(F.flatten(F.array_compact(implied))))
 
 

@@ -476,3 +476,84 @@ def result_checks(spark, sf_dir):
     cases = results.select("query_id").distinct().select("query_id", F.array("query_id").alias("expected_patterns"), F.array(F.lit("zz")).alias("must_exclude"))
     return V.check_results(cases, results).withColumnRenamed("query_id", "query")
 
+
+
+# -- review, provenance, tags ----------------------------------------------------------------------------------------------
+
+_REQUESTS = """requests AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'approved' ELSE 'rejected' END AS status, lower(o_orderpriority) AS source,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'update' ELSE 'create' END AS change_type, o_orderdate AS created_at FROM orders)"""
+
+
+def _requests(spark, sf_dir):
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id", "CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'approved' ELSE 'rejected' END AS status", "lower(o_orderpriority) AS source",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'update' ELSE 'create' END AS change_type", "o_orderdate AS created_at")
+
+
+@query(with_(_REQUESTS) + "SELECT id, source FROM requests WHERE status = 'approved' AND change_type = 'update' ORDER BY created_at DESC, id LIMIT 25 OFFSET 25")
+def change_requests(spark, sf_dir):
+    return FL.list_change_requests(_requests(spark, sf_dir), page=2, status="approved", change_type="update")[0].select("id", "source")
+
+
+_FEEDBACK = "feedback AS (SELECT event_id AS id, event_type AS kind, CASE WHEN user_id % 4 = 0 THEN 'new' ELSE 'seen' END AS status, ts AS created_at FROM events)"
+
+
+def _feedback(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("event_id AS id", "event_type AS kind", "CASE WHEN user_id % 4 = 0 THEN 'new' ELSE 'seen' END AS status", "ts AS created_at")
+
+
+@query(with_(_FEEDBACK) + "SELECT id, status FROM feedback WHERE kind = 'click' ORDER BY created_at DESC, id LIMIT 25")
+def feedback_listing(spark, sf_dir):
+    return FL.list_feedback(_feedback(spark, sf_dir), kind="click")[0].select("id", "status")
+
+
+@query(with_(_FEEDBACK) + """SELECT count(*) FILTER (kind = 'click') AS total, count(*) FILTER (status = 'new') AS "new" FROM feedback""")
+def feedback_counts(spark, sf_dir):
+    return FL.list_feedback(_feedback(spark, sf_dir), kind="click")[1]
+
+
+@query(with_(LOG, ITEMS) + "SELECT log.id, item FROM log JOIN (SELECT id AS i FROM items WHERE is_active) ON i = item")
+def kept_active(spark, sf_dir):
+    active = FL.active_items(items(spark, sf_dir)).select(F.col("id").alias("item"))
+    return J.keep_active(log(spark, sf_dir).select("id", "item"), active, "item")
+
+
+@query(with_(ITEMS) + """SELECT id, concat_ws('; ', CASE WHEN click_count <> 0 THEN 'clicks ' || CAST(click_count * 2 AS VARCHAR) || ' popular' END, CASE WHEN coalesce(phone, '') = '' THEN 'contact -5 no phone' END) AS why FROM items""")
+def score_explanations(spark, sf_dir):
+    rows = P.explained(items(spark, sf_dir), "clicks", F.col("click_count") * 2, "popular")
+    rows = P.explained(rows, "contact", F.when(F.coalesce("phone", F.lit("")) == "", -5), "no phone")
+    return rows.select("id", F.array_join(F.transform("explanations", lambda e: F.concat_ws(" ", e["factor"], e["value"].cast("long").cast("string"), e["reason"])), "; ").alias("why"))
+
+
+@query(with_(ITEMS) + """SELECT id, concat_ws(',', 'own', CASE WHEN id % 3 = 0 THEN 'women' END, CASE WHEN gender_restriction = 'women' AND id % 3 <> 0 THEN 'women' END, CASE WHEN age_group = 'senior' THEN 'seniors' END) AS tags, coalesce(age_group, 'all') AS age_group FROM items""")
+def demographic_tags(spark, sf_dir):
+    tags = F.when(F.col("id") % 3 == 0, F.array(F.lit("own"), F.lit("women"))).otherwise(F.array(F.lit("own")))
+    tags = E.append_tags(E.append_tags(tags, F.col("gender_restriction") == "women", "women"), F.col("age_group") == "senior", "seniors")
+    return items(spark, sf_dir).select("id", F.array_join(tags, ",").alias("tags"), E.fill_default("age_group", "all").alias("age_group"))
+
+
+@query(with_(ITEMS) + """, lost AS (SELECT id, id - 1 AS keeper, phone, email FROM items WHERE id % 5 = 0 AND id > 1)
+SELECT items.id, CASE WHEN coalesce(items.phone, '') = '' AND coalesce(lost.phone, '') <> '' THEN lost.phone ELSE items.phone END AS phone,
+  CASE WHEN coalesce(items.email, '') = '' AND coalesce(lost.email, '') <> '' THEN lost.email ELSE items.email END AS email,
+  CASE WHEN items.id % 5 = 0 AND items.id > 1 THEN false ELSE is_active END AS is_active FROM items LEFT JOIN lost ON keeper = items.id""")
+def merged_into_keeper(spark, sf_dir):
+    rows = items(spark, sf_dir).select("id", "phone", "email", "is_active")
+    pairs = rows.where("id % 5 = 0 AND id > 1").select("id", (F.col("id") - 1).alias("keeper"))
+    return E.deactivate_into(rows, pairs, ["phone", "email"])
+
+
+@query(with_(ITEMS) + """SELECT id, CASE WHEN website_url IS NULL THEN 'name=old,phone=old' ELSE 'email=' || website_url || ',name=old,phone=' || website_url END AS sources, concat_ws(',', 'https://site1.test/a', CASE WHEN website_url <> 'https://site1.test/a' THEN website_url END) AS urls FROM items""")
+def provenance(spark, sf_dir):
+    old = F.create_map(F.lit("phone"), F.lit("old"), F.lit("name"), F.lit("old"))
+    found = F.when(F.col("website_url").isNotNull(), F.create_map(F.lit("phone"), F.col("website_url"), F.lit("email"), F.col("website_url")))
+    rows = items(spark, sf_dir).select("id", *E.record_provenance(old, F.array(F.lit("https://site1.test/a")), found, F.col("website_url")))
+    entries = F.array_sort(F.transform(F.map_entries("field_sources"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return rows.select("id", F.array_join(entries, ",").alias("sources"), F.array_join("source_urls", ",").alias("urls"))
+
+
+@query(with_(ITEMS) + """, t AS (SELECT id, list_distinct(string_split(name, ' ')) AS old, list_distinct(list_concat(string_split(name, ' '), string_split(lower(description), ' '))) AS joint FROM items)
+SELECT id, array_to_string(list_sort(joint), ' ') AS tags, len(joint) <> len(old) AS grew FROM t""")
+def tag_unions(spark, sf_dir):
+    rows = items(spark, sf_dir).select("id", F.split("name", " ").alias("old"), F.split(F.lower("description"), " ").alias("more"))
+    rows = rows.withColumn("tags", E.merge_tags("old", "more"))
+    return rows.select("id", F.array_join("tags", " ").alias("tags"), E.tags_changed(F.col("old"), F.col("tags")).alias("grew"))

@@ -69,6 +69,11 @@ def no_click_queries(spark, sf_dir):
     return A.no_click_queries(log(spark, sf_dir))
 
 
+@query(with_(LOG) + "SELECT query, count(*) AS searches, max(result_count) AS most_results FROM log WHERE item IS NULL AND result_count > 0 AND ts >= TIMESTAMP '2024-01-24' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def volume_no_clicks(spark, sf_dir):
+    return A.volume_no_clicks(log(spark, sf_dir), now())
+
+
 @query(with_(LOG) + """SELECT CASE WHEN coalesce(user_agent, '') = '' THEN 'unknown' WHEN user_agent ILIKE '%mobile%' OR user_agent ILIKE '%iphone%' THEN 'mobile'
   WHEN user_agent ILIKE '%ipad%' OR user_agent ILIKE '%tablet%' THEN 'tablet' ELSE 'desktop' END AS device, count(*) AS searches FROM log GROUP BY 1""")
 def device_mix(spark, sf_dir):

@@ -239,11 +239,38 @@ def _nested(c: str, rules) -> str:
     return c
 
 
-@query(with_(TURNS) + "SELECT query_id, " + _nested("translate(trim(regexp_replace(lower(whole), '\\s+', ' ', 'g'), ' '), '‘’“”', '''''\"\"')", T.SPELLINGS) + " AS normalised FROM turns")
+_NORMALISED = _nested("translate(trim(regexp_replace(lower(whole), '\\s+', ' ', 'g'), ' '), '‘’“”', '''''\"\"')", T.SPELLINGS)
+
+
+@query(with_(TURNS) + f"SELECT query_id, {_NORMALISED} AS normalised FROM turns")
 def normalise_query(spark, sf_dir):
     return queries_table(spark, sf_dir).select("query_id", T.normalise_query("whole").alias("normalised"))
 
 
+@query(with_(TURNS) + f""", n AS (SELECT query_id, {_NORMALISED} AS t FROM turns)
+SELECT query_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'calgary')))), ' ') AS keywords FROM n""".replace("\n, n", ", n", 1))
+def keywords(spark, sf_dir):
+    words = T.keywords("whole", ["the", "and", "for", "calgary"])
+    return queries_table(spark, sf_dir).select("query_id", F.array_join(F.array_sort(words), " ").alias("keywords"))
+
+
+_ASKED = "whole || CASE conv_id % 4 WHEN 0 THEN ' for my Son, tonight' WHEN 1 THEN ' for two patients' WHEN 2 THEN ' our PARTNER lost the house' ELSE '' END"
+
+
+@query(f"""WITH q AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS query_id, lower({_ASKED.replace("whole", "text")}) AS t, turn % 3 AS k FROM conversations WHERE role = 'user'),
+f AS (SELECT *, regexp_matches(t, '\\b(my|our) (son|daughter|husband|wife|partner|mother|father|brother|sister|parent|child|kid|friend)\\b') AS relative, regexp_matches(t, '\\b(client|patient|resident|caseworker|social worker)s?\\b') AS helper FROM q)
+SELECT query_id, CASE WHEN relative THEN 'relative' WHEN helper THEN 'professional' ELSE 'self' END AS searcher,
+  CASE WHEN relative OR helper THEN regexp_extract(t, '\\b(son|daughter|husband|wife|partner|mother|father|brother|sister|parent|child|kid|friend|client|patient)\\b', 1) ELSE 'self' END AS target,
+  concat_ws(',', CASE WHEN contains(t, 'tonight') THEN 'urgent' END, CASE WHEN contains(t, 'house') THEN 'housing' END) AS contexts,
+  CASE k WHEN 0 THEN 'clinic,counsel' WHEN 1 THEN 'counsel' ELSE '' END AS needs FROM f""")
+def query_context(spark, sf_dir):
+    q = table(spark, sf_dir, "conversations").where("role = 'user'").selectExpr(
+        "concat(cast(conv_id AS string), '-', cast(turn AS string)) AS query_id", f"{_ASKED.replace('whole', 'text')} AS text",
+        "CASE turn % 3 WHEN 0 THEN array('health', 'mind') WHEN 1 THEN array('mind') ELSE array('other') END AS labels")
+    out = Q.query_context(q, {"health": ["clinic", "counsel"], "mind": ["counsel"]}, contexts={"urgent": "tonight", "housing": "house"})
+    return out.select("query_id", "searcher", "target", F.array_join("contexts", ",").alias("contexts"), F.array_join("needs", ",").alias("needs"))
+
+
 @query("SELECT doc_id, " + _nested("text", [(p, n) for p, n in T.PERSONAL]) + " AS scrubbed FROM documents")
 def pii_scrub(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.scrub_pii("text").alias("scrubbed"))
@@ -408,6 +435,18 @@ def evaluation_rollup(spark, sf_dir):
     return V.rollup(_scores(spark, sf_dir))
 
 
+@query(with_(TERMS, ITEMS, _TOP) + """SELECT query_id, label <> 'l' || CAST(query_id % 8 AS VARCHAR) AS mislabelled, CASE WHEN score >= 80 THEN 'pass' WHEN score >= 60 THEN 'warning' ELSE 'fail' END AS band FROM scores""")
+def evaluation_bands(spark, sf_dir):
+    return _scores(spark, sf_dir).select("query_id", F.array_contains("failures", "label").alias("mislabelled"), V.score_band("score").alias("band"))
+
+
+@query(with_(TERMS, ITEMS, _TOP) + """, i AS (SELECT t.query_id, unnest(list_filter([CASE WHEN NOT coalesce(inc, false) THEN 'missing ' || text END, CASE WHEN exc THEN 'unwanted brass' END,
+  CASE WHEN NOT coalesce(pat, false) THEN 'no pattern' END, CASE WHEN t.query_id % 8 >= 4 THEN 'label' END, CASE WHEN b.query_id IS NULL THEN 'empty' END], lambda x: x IS NOT NULL)) AS issue FROM terms t LEFT JOIN b ON b.query_id = t.query_id)
+SELECT issue, count(DISTINCT query_id) AS queries FROM i GROUP BY 1 HAVING count(DISTINCT query_id) >= 2""")
+def recurrent_issues(spark, sf_dir):
+    return V.evaluation_report(_scores(spark, sf_dir))
+
+
 @query(with_(TERMS, ITEMS, _TOP) + """SELECT 'overall' AS rule, '' AS label, round(avg(score), 4) AS value FROM scores HAVING avg(score) < 85 UNION ALL SELECT 'critical', label, round(avg(score), 4) FROM scores WHERE label = 'l1' GROUP BY 2 HAVING avg(score) < 90
   UNION ALL SELECT 'label', label, round(avg(score), 4) FROM scores GROUP BY 2 HAVING avg(score) < 95 UNION ALL SELECT 'low scores', '', CAST(count(*) AS DOUBLE) FROM scores WHERE score < 85 HAVING count(*) > 5""")
 def evaluation_gate(spark, sf_dir):
