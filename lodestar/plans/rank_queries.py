@@ -302,6 +302,19 @@ def phonetic(spark, sf_dir):
     return _words(spark, sf_dir).select("w", T.phonetic_code("w").alias("code"))
 
 
+_CODE = "left(regexp_extract(s, '^([^aeiou]*[aeiou]?)(.*)$', 1) || regexp_replace(regexp_extract(s, '^([^aeiou]*[aeiou]?)(.*)$', 2), '[aeiou]', '', 'g'), 8)"
+
+
+@query(with_(_WORDS) + f""", t AS (SELECT w, {_CODE} AS code FROM (SELECT w, {_sounds()} AS s FROM words)),
+v AS (SELECT code, min(w) AS word FROM (SELECT w, {_CODE} AS code FROM (SELECT w, {_sounds()} AS s FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) AS w FROM part))) GROUP BY 1)
+SELECT w AS token, CASE w WHEN 'the' THEN 'thee' ELSE coalesce(word, w) END AS corrected FROM t LEFT JOIN v USING (code)""".replace("\n, t", ", t", 1))
+def phonetic_fix(spark, sf_dir):
+    names = F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]+"), F.lit(0))
+    vocabulary = table(spark, sf_dir, "part").select(F.explode(names).alias("word")).distinct()
+    dictionary = spark.createDataFrame([("the", "thee")], "wrong string, right string")
+    return Q.correct_phonetic(_words(spark, sf_dir).withColumnRenamed("w", "token"), dictionary, vocabulary).select("token", "corrected")
+
+
 @query(with_(TURNS) + """, p(label, pattern, points) AS (VALUES ('food', 'the|la', 1.0), ('food', 'of', 0.6), ('home', 'tion', 1.0), ('home', 'und|et', 0.3), ('help', 'en', 0.4))
 SELECT query_id, label, round(CAST(sum(points) AS DOUBLE), 6) AS score FROM turns JOIN p ON regexp_matches(whole, pattern, 'i') GROUP BY 1, 2""".replace("\n, p", ", p", 1))
 def label_scores(spark, sf_dir):
