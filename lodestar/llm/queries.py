@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestar.llm import decontaminate, language, licenses, line_dedup, main_text, mixing, near_duplicates, periodic_runs, quality_classifier, quality_rules, url_filter
+from lodestar.llm import decontaminate, language, licenses, line_dedup, main_text, mixing, near_duplicates, periodic_runs, quality_classifier, quality_rules, token_alignment, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +56,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Where the tokenizers' files are; the operators take them as parameters.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_alignment.Pair.load(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_alignment.score(_table(spark, sf_dir, "documents"), files)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_seed"))
     return periodic_runs.digest(periodic_runs.periodic_runs(docs, seed="_seed"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_mix, op3_url_filter, op4_quality_classifier, op5_near_duplicates, op6_language, op7_line_dedup, op8_licenses, op9_main_text, op10_decontaminate, op13_periodic_runs)
+    f.__name__: f for f in (op1_quality_rules, op2_mix, op3_url_filter, op4_quality_classifier, op5_near_duplicates, op6_language, op7_line_dedup, op8_licenses, op9_main_text, op10_decontaminate, op11_token_alignment, op13_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
