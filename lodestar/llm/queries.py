@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestar.llm import decontaminate, language, licenses, line_dedup, main_text, mixing, near_duplicates, periodic_runs, quality_classifier, quality_rules, token_alignment, url_filter
+from lodestar.llm import decontaminate, language, licenses, line_dedup, main_text, mixing, near_duplicates, periodic_runs, quality_classifier, quality_rules, suffix_dedup, token_alignment, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,13 +65,18 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.score(_table(spark, sf_dir, "documents"), files)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_seed"))
     return periodic_runs.digest(periodic_runs.periodic_runs(docs, seed="_seed"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_mix, op3_url_filter, op4_quality_classifier, op5_near_duplicates, op6_language, op7_line_dedup, op8_licenses, op9_main_text, op10_decontaminate, op11_token_alignment, op13_periodic_runs)
+    f.__name__: f for f in (op1_quality_rules, op2_mix, op3_url_filter, op4_quality_classifier, op5_near_duplicates, op6_language, op7_line_dedup, op8_licenses, op9_main_text, op10_decontaminate, op11_token_alignment, op12_suffix_dedup, op13_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
