@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.common import blank, contains, matches, top, true
 from lodestar.functions.text import jaccard, raw_trigrams, stem, trigrams
+from lodestar.operators.vectors import exact_search as semantic_search  # noqa: F401  one of the searches of this module
 
 #: Weights of the field classes A to D.
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -217,35 +218,6 @@ def keyword_search(queries: DataFrame, items: DataFrame, points: dict[str, float
     return top(found, ["query_id"], by_score(), n)
 
 
-def unit(v: str | Column) -> Column:
-    c = F.col(v) if isinstance(v, str) else v
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(c, lambda x: x / norm)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def semantic_search(query_vectors: DataFrame, items: DataFrame, threshold: float = 0.3, n: int = 20, key: str = "id", vector: str = "embedding", block: int = 10_000) -> DataFrame:
-    """Cosine of every query with every item above the threshold, best n per query.
-
-    A stated set of queries is compared with all items: queries go to the tasks in blocks of at most ``block`` rows, so what is
-    broadcast has a known size, and each block's best rows are cut before blocks are joined.
-    """
-    i = items.select(F.col(key).alias("item_id"), unit(F.col(vector).cast("array<double>")).alias("_v"))
-    q = query_vectors.select("query_id", unit(F.col("vector").cast("array<double>")).alias("_u"))
-    blocks = max(1, -(-q.count() // block))
-    out = None
-    for k in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        pairs = i.join(F.broadcast(part), F.size("_v") == F.size("_u"))
-        hits = pairs.select("query_id", "item_id", F.round(cosine(F.col("_u"), F.col("_v")), 6).alias("score")).where(F.col("score") > threshold)
-        best = top(hits, ["query_id"], by_score(), n)
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
 def hybrid_search(semantic: DataFrame, text: DataFrame, weights: tuple[float, float] = (0.7, 0.3), n: int = 20) -> DataFrame:
     a = semantic.select("query_id", "item_id", F.col("score").alias("_a"))
     b = text.select("query_id", "item_id", F.col("score").alias("_b"))

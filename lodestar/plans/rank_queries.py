@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import curate as E, evaluate as V, joins as J, pages as P, querylog as Q, ranking as R
+from lodestar.operators import curate as E, evaluate as V, joins as J, pages as P, querylog as Q, ranking as R, vectors as X
 from lodestar.plans.tables import ITEMS, TERMS, TURNS, items, now, queries_table, query, table, term_queries, with_
 
 # -- vectors ---------------------------------------------------------------------------------------------------------------
@@ -24,6 +24,15 @@ def semantic_topk(spark, sf_dir):
     return _semantic(spark, sf_dir)
 
 
+@query()
+def vector_topk(spark, sf_dir):
+    """Through the index of cells; its recall against the exact search is measured in a test."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    asked = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = X.VectorIndex.build(e, X.fit_centres(e))
+    return X.index_search(asked, index, X.probes_for(asked, index, threshold=0.1), 0.1)
+
+
 _LABEL = "lab AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(1.0 / (1 + i.vec_id), 6) AS score FROM embeddings q JOIN embeddings i ON q.label = i.label WHERE q.vec_id % 20 = 0)"
 
 
