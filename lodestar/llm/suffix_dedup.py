@@ -29,6 +29,7 @@ too; null and repeated ids are kept; an empty table gives an empty result; colum
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,11 @@ from pyspark.sql import DataFrame, functions as F
 from lodestar.llm.common import mix64, release, staged
 
 #: Bytes hashed at once and bytes of texts sorted as one run; a longer text is a block, or a run, of its own.
-BLOCK_BYTES, RUN_BYTES = 1_000_000, 16_000_000
+BLOCK_BYTES, RUN_BYTES = 1_000_000, 8_000_000
 #: Anchors of the corpus for each part of the sort order.
 PART_ANCHORS = 100_000
+#: Rows of an Arrow batch while texts go through tasks, and the setting that bounds them.
+BATCH_ROWS, _BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PLACE = np.uint64(31)
 RUNS = "run string, part int, prefix binary, size binary, bytes binary, left_size binary, left_bytes binary, times binary, entry binary, row binary, at binary"
 
@@ -152,7 +155,7 @@ class Run:
     """Reads a front-coded run; ``head`` is the next suffix, ``shared`` its common prefix with the last output, ``entry`` its number."""
 
     def __init__(self, row):
-        ints = lambda x: np.frombuffer(x, np.int32).tolist()
+        ints = lambda x: array("i", x)  # noqa: E731  four bytes each
         self.prefix, self.size, self.bytes = ints(row.prefix), ints(row.size), row.bytes
         self.left_size, self.left_bytes, self.times = ints(row.left_size), row.left_bytes, ints(row.times)
         self.entry, self.at, self.left_at, self.head, self.left, self.shared = -1, 0, 0, b"", b"", 0
@@ -366,10 +369,11 @@ def _stretches(length: int):
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the given stretches, which may overlap or touch."""
-    for batch in batches:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
+    for batch, texts in _blocks(batches, 1, RUN_BYTES):
         rows = []
-        for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-            text, kept, spans, reach = text or b"", [], [], -1
+        for text, starts, ends in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            kept, spans, reach = [], [], -1
             for start, end in sorted(zip(starts or (), ends or (), strict=True)):
                 if start > reach:
                     kept.append(text[max(reach, 0) : start])
@@ -378,8 +382,18 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 spans[-1][1] = reach
             kept.append(text[max(reach, 0) :])
             rows.append((len(text), sum(b - a for a, b in spans), len(spans), [{"start": a, "end": b} for a, b in spans], b"".join(kept)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+
+
+def _staged(df: DataFrame, label: str) -> DataFrame:
+    """As staged, with small batches."""
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        return staged(df, label)
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, k: int | None = None, hot_group: int = 200_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -392,7 +406,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int | None = None, hot
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = rows.mapInArrow(_with_anchors(length, k), f"doc_id {kind}, _text binary, hash array<long>, at array<int>, lo array<int>, hi array<int>")
-    texts = staged(found.withColumn("_row", F.monotonically_increasing_id()), "suffix-texts")
+    texts = _staged(found.withColumn("_row", F.monotonically_increasing_id()), "suffix-texts")
     total = texts.agg(F.sum(F.size("hash"))).first()[0] or 0
     bits = max(1, (total // PART_ANCHORS).bit_length())
 
@@ -401,13 +415,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int | None = None, hot
     shared = each.join(often, "_h").groupBy("_row").agg(F.collect_list(F.struct("_k", (F.col("_n") > hot_group).alias("hot"))).alias("_s"))
     picked = lambda c: F.transform("_s", lambda s: F.get(c, s["_k"])).alias(c)
     asked = texts.join(shared, "_row").select("_row", "_text", *map(picked, ("hash", "at", "lo", "hi")), F.col("_s.hot").alias("hot"))
-    runs = staged(asked.mapInArrow(_make_runs(length, bits), RUNS), "suffix-runs")
+    runs = _staged(asked.mapInArrow(_make_runs(length, bits), RUNS), "suffix-runs")
 
     sent = runs.where("part >= 0").select("run", "part", "prefix", "size", "bytes", "left_size", "left_bytes", "times")
     told = sent.groupBy("part").applyInPandas(_merge(length, k), "run string, part int, entry array<int>, least array<int>, most array<int>")
     if not runs.where("part < 0").isEmpty():
         told = told.unionByName(_hot_verdicts(runs, length))
-    told = staged(told, "suffix-verdicts")
+    told = _staged(told, "suffix-verdicts")
     back = runs.select("run", "part", F.col("entry").alias("entries"), "row", "at").join(told, ["run", "part"])
     stretches = back.mapInArrow(_stretches(length), "_row long, start long, end long").groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("_c"))
     whole = texts.select("_row", "doc_id", "_text").join(stretches, "_row", "left").select("doc_id", "_text", F.col("_c.start").alias("_s"), F.col("_c.end").alias("_e"))
