@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from lodestar.llm.common import mix64, release, staged
@@ -92,11 +93,14 @@ def anchors(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int,
     return h[own[head]].view(np.int64), own[head], starts[head], starts[tail]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], column: int, size: int, packed: bool = True) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows and their texts, about ``size`` bytes of them. packed: the texts are compressed."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         first, held, total = 0, [], 0
         for i, value in enumerate(batch.column(column)):
-            held.append(value.as_py() or b"")
+            text = value.as_py()
+            held.append((unpack(text) if packed else text) if text else b"")
             total += len(held[-1])
             if total >= size or i == batch.num_rows - 1:
                 yield batch.slice(first, i + 1 - first), held
@@ -109,14 +113,15 @@ def _lists(bounds: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 def _with_anchors(length: int, k: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _blocks(batches, 1, BLOCK_BYTES):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch, texts in _blocks(batches, 1, BLOCK_BYTES, packed=False):
             size = np.array([len(t) for t in texts], np.int64)
             last = np.cumsum(size)
             h, at, lo, hi = anchors(np.frombuffer(b"".join(texts), np.uint8), last - size, last, length, k)
             doc = np.searchsorted(last, at, "right")
             bounds, off = np.searchsorted(doc, np.arange(len(texts) + 1)), (last - size)[doc]
             lists = [_lists(bounds, h, pa.int64()), *(_lists(bounds, x - off, pa.int32()) for x in (at, lo, hi))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *lists], ["doc_id", "_text", "hash", "at", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t) if t else b"" for t in texts], pa.binary()), *lists], ["doc_id", "_text", "hash", "at", "lo", "hi"])
 
     return found
 
@@ -410,11 +415,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int | None = None, hot
     total = texts.agg(F.sum(F.size("hash"))).first()[0] or 0
     bits = max(1, (total // PART_ANCHORS).bit_length())
 
-    each = texts.select("_row", F.posexplode("hash").alias("_k", "_h"))
-    often = each.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = each.join(often, "_h").groupBy("_row").agg(F.collect_list(F.struct("_k", (F.col("_n") > hot_group).alias("hot"))).alias("_s"))
-    picked = lambda c: F.transform("_s", lambda s: F.get(c, s["_k"])).alias(c)
-    asked = texts.join(shared, "_row").select("_row", "_text", *map(picked, ("hash", "at", "lo", "hi")), F.col("_s.hot").alias("hot"))
+    each = texts.select("_row", F.inline(F.arrays_zip("hash", "at", "lo", "hi")))
+    often = each.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1")
+    columns = ("hash", "at", "lo", "hi", "hot")
+    shared = each.join(often, "hash").withColumn("hot", F.col("_n") > hot_group).groupBy("_row").agg(F.collect_list(F.struct(*columns)).alias("_s"))
+    asked = texts.select("_row", "_text").join(shared, "_row").select("_row", "_text", *(F.col(f"_s.{c}").alias(c) for c in columns))
     runs = _staged(asked.mapInArrow(_make_runs(length, bits), RUNS), "suffix-runs")
 
     sent = runs.where("part >= 0").select("run", "part", "prefix", "size", "bytes", "left_size", "left_bytes", "times")
