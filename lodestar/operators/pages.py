@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.common import contains, matches, true
+from lodestar.operators.rules import match_rules
 
 PARSED = "title string, headings array<string>, text string, links array<struct<href:string,text:string,context:string,in_nav:boolean>>, ol_items array<string>"
 SKIPPED = frozenset(("script", "style", "nav", "footer", "header", "aside"))
@@ -81,8 +82,9 @@ def classify_pages(pages: DataFrame, patterns: DataFrame, least: float = 0.2, va
     A url pattern adds .4, a heading pattern .3, each of up to three keywords .15, being the homepage .5 to the type ``home``.
     """
     heads = F.concat_ws(" ", "title", F.array_join("headings", " "))
-    subject = F.when(F.col("kind") == "url", F.col("url")).when(F.col("kind") == "heading", heads).otherwise(F.col("text"))
-    hit = pages.join(F.broadcast(patterns), true(F.regexp_like(subject, F.concat(F.lit("(?iu)"), F.col("pattern")))))
+    rules = patterns.withColumn("_rule", F.struct("page_type", "kind", "pattern"))
+    subjects = {"url": F.col("url"), "heading": heads, "keyword": F.col("text")}
+    hit = match_rules(pages, key, subjects, rules, "_rule", "kind").select(key, "_rule.page_type", "_rule.kind")
     n = lambda kind: F.count_if(F.col("kind") == kind)
     score = F.when(n("url") > 0, 0.4).otherwise(0.0) + F.when(n("heading") > 0, 0.3).otherwise(0.0) + 0.15 * F.least(n("keyword"), F.lit(3))
     scores = hit.groupBy(key, "page_type").agg(F.round(score, 4).alias("s"))

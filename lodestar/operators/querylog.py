@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.common import blank, matches, true
 from lodestar.functions.text import keywords, normalise_query, org_key, phonetic_code
+from lodestar.operators.rules import match_rules
 
 
 def tokens(queries: DataFrame, stop: list[str] = (), text: str = "text") -> DataFrame:
@@ -107,10 +108,11 @@ def match_alias(queries: DataFrame, aliases: DataFrame, text: str = "text") -> D
 def score_labels(queries: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, label, score): points of all patterns that match; a pattern with ``requires`` counts only beside that label.
 
-    patterns: (label, pattern, points, requires). Each distinct text meets the broadcast patterns once.
+    patterns: (label, pattern, points, requires). Each distinct text meets the patterns whose literals it holds.
     """
     texts = queries.select(F.col(text).alias("_t")).where(~blank("_t", True)).distinct()
-    hits = texts.join(F.broadcast(patterns), true(F.regexp_like("_t", F.concat(F.lit("(?iu)"), F.col("pattern"))))).select("_t", "label", "points", "requires")
+    numbered = patterns.withColumn("_rule", F.struct("label", "pattern", "points", "requires"))
+    hits = match_rules(texts, "_t", {None: F.col("_t")}, numbered, "_rule").select("_t", "_rule.label", "_rule.points", "_rule.requires")
     have = F.collect_set("label").over(Window.partitionBy("_t"))
     kept = hits.withColumn("_h", have).where(F.col("requires").isNull() | F.array_contains("_h", F.col("requires")))
     scores = kept.groupBy("_t", "label").agg(F.sum("points").alias("score"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.common import blank, contains, matches, top, true
 from lodestar.functions.text import jaccard, raw_trigrams, stem, trigrams
+from lodestar.operators.rules import match_rules
 from lodestar.operators.vectors import exact_search as semantic_search  # noqa: F401  one of the searches of this module
 
 #: Weights of the field classes A to D.
@@ -259,26 +260,34 @@ def boost_name_match(df: DataFrame, stop: list[str], exact: float = 500, alias:
 def query_gates(queries: DataFrame, gates: DataFrame, text: str = "text", labels: str | None = None) -> DataFrame:
     """(query_id, gate) of the gates that a query opens: by pattern or label, unless another open gate closes it, and only with
     the gates that it requires. gates: (gate, gate_pattern, gate_label, gate_unless array, requires array), a small rule table."""
-    rules = F.broadcast(gates)
-    by_text = true(F.regexp_like(text, F.concat(F.lit("(?iu)"), F.col("gate_pattern"))))
-    by_label = true(F.array_contains(labels, F.col("gate_label"))) if labels else F.lit(False)
-    open_ = queries.join(rules, by_text | by_label).select("query_id", "gate", F.coalesce("gate_unless", F.array().cast("array<string>")).alias("_u"), F.coalesce("requires", F.array().cast("array<string>")).alias("_n"))
+    hit = match_rules(queries, "query_id", {None: F.col(text)}, gates, "gate", pattern="gate_pattern")
+    if labels:
+        by_label = queries.select("query_id", F.explode(labels).alias("gate_label")).join(F.broadcast(gates.select("gate", "gate_label")), "gate_label")
+        hit = hit.unionByName(by_label.select("query_id", "gate"))
+    nothing = F.array().cast("array<string>")
+    details = gates.select("gate", F.coalesce("gate_unless", nothing).alias("_u"), F.coalesce("requires", nothing).alias("_n"))
     have = F.collect_set("gate").over(Window.partitionBy("query_id"))
-    return open_.withColumn("_h", have).where(~F.arrays_overlap("_h", "_u") & (F.size(F.array_except("_n", "_h")) == 0)).select("query_id", "gate")
+    open_ = hit.distinct().join(F.broadcast(details), "gate").withColumn("_h", have)
+    return open_.where(~F.arrays_overlap("_h", "_u") & (F.size(F.array_except("_n", "_h")) == 0)).select("query_id", "gate")
 
 
-def boost_by_rules(df: DataFrame, queries: DataFrame, items: DataFrame, gates: DataFrame, rules: DataFrame, key: str = "id", labels: str | None = None) -> DataFrame:
+def boost_by_rules(df: DataFrame, queries: DataFrame, items: DataFrame, gates: DataFrame | None, rules: DataFrame, key: str = "id", labels: str | None = None, opened: DataFrame | None = None) -> DataFrame:
     """Adds the points of all rules whose gate the query opens and whose pattern the item matches.
 
-    rules: (rule_id, ordinal, gate, item_field, item_pattern, item_not_pattern, points, only_if_zero). Queries meet gates and items
-    meet patterns once each; candidates then meet rules in equi-joins. Rules marked only_if_zero count where the rest adds to 0.
+    rules: (rule_id, ordinal, gate, item_field, item_pattern, item_not_pattern, points, only_if_zero, and optionally once). Queries meet
+    gates and items meet patterns once each, through the literals of the patterns; candidates then meet rules in equi-joins. Rules marked
+    only_if_zero count where the rest adds to 0; of rules with the same ``once`` only the first by ordinal counts. opened: (query_id, gate)
+    where gates follow from what is known of a query instead of its text.
     """
-    open_ = query_gates(queries, gates, labels=labels)
+    open_ = opened if opened is not None else query_gates(queries, gates, labels=labels)
     fields = [f.name for f in items.schema if f.dataType.typeName() == "string"]
-    text = reduce(lambda out, f: F.when(F.col("item_field") == f, F.col(f)).otherwise(out), fields, F.lower(F.concat_ws(" ", *fields)))
-    hit = F.regexp_like(text, F.concat(F.lit("(?iu)"), F.col("item_pattern"))) & ~true(F.regexp_like(text, F.concat(F.lit("(?iu)"), F.col("item_not_pattern"))))
-    i = items.join(F.broadcast(rules), true(hit)).select(F.col(key).alias("item_id"), "rule_id", "gate", "points", F.coalesce("only_if_zero", F.lit(False)).alias("_z"))
+    subjects = {None: F.lower(F.concat_ws(" ", *fields))} | {f: F.col(f) for f in fields}
+    hit = match_rules(items, key, subjects, rules, "rule_id", "item_field", "item_pattern", "item_not_pattern")
+    once = F.coalesce("once", "rule_id") if "once" in rules.columns else F.col("rule_id")
+    details = rules.select("rule_id", "gate", "ordinal", "points", F.coalesce("only_if_zero", F.lit(False)).alias("_z"), once.alias("_once"))
+    i = hit.withColumnRenamed(key, "item_id").join(F.broadcast(details), "rule_id")
     pairs = df.select("query_id", "item_id").join(open_, "query_id").join(i, ["item_id", "gate"])
+    pairs = pairs.groupBy("query_id", "item_id", "_once").agg(F.min_by(F.struct("points", "_z"), F.struct("ordinal", "rule_id")).alias("_f")).select("query_id", "item_id", "_f.*")
     plain = F.coalesce(F.sum(F.when(~F.col("_z"), F.col("points"))), F.lit(0.0))
     zero = F.coalesce(F.sum(F.when(F.col("_z"), F.col("points"))), F.lit(0.0))
     sums = pairs.groupBy("query_id", "item_id").agg((plain + F.when(plain == 0, zero).otherwise(0.0)).alias("_p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import curate as E, evaluate as V, joins as J, pages as P, querylog as Q, ranking as R, vectors as X
+from lodestar.operators import curate as E, demographics as D, evaluate as V, joins as J, pages as P, querylog as Q, ranking as R, vectors as X
 from lodestar.plans.tables import ITEMS, TERMS, TURNS, items, now, queries_table, query, table, term_queries, with_
 
 # -- vectors ---------------------------------------------------------------------------------------------------------------
@@ -237,6 +237,46 @@ def rule_boost(spark, sf_dir):
     return R.boost_by_rules(pairs, q, rows, gates, rules)
 
 
+def _rule_base(spark, sf_dir):
+    """Some 400 rules from the table: each word of a name beside each category that it occurs in; the word is the rule's gate."""
+    p = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w"), F.lower("p_brand").alias("b")).distinct()
+    nothing, edge = F.lit(None).cast("string"), F.lit(r"\b")
+    points = (F.length("w") + F.substring_index("b", "#", -1).cast("int")).cast("double")
+    rules = p.select(F.concat_ws("/", "w", "b").alias("rule_id"), F.lit(1).alias("ordinal"), F.col("w").alias("gate"), nothing.alias("item_field"), F.concat(edge, "w", F.lit(".*"), "b", edge).alias("item_pattern"), nothing.alias("item_not_pattern"), points.alias("points"), F.lit(False).alias("only_if_zero"))
+    none = F.lit(None).cast("array<string>")
+    gates = p.select("w").distinct().select(F.col("w").alias("gate"), F.concat(edge, "w").alias("gate_pattern"), nothing.alias("gate_label"), none.alias("gate_unless"), none.alias("requires"))
+    return gates, rules
+
+
+@query(with_(TERMS, ITEMS, _KEYWORD, r"""wb AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w, lower(p_brand) AS b FROM part),
+g AS (SELECT DISTINCT query_id, w FROM terms JOIN wb ON regexp_matches(text, '\b' || w, 'i')),
+h AS (SELECT id, w, length(w) + CAST(split_part(b, '#', 2) AS INT) AS p FROM items JOIN wb ON regexp_matches(lower(name || ' ' || category || ' ' || description), '\b' || w || '.*' || b || '\b')),
+s AS (SELECT k.query_id, k.item_id, sum(p) AS p FROM keyword k JOIN g USING (query_id) JOIN h ON h.id = k.item_id AND h.w = g.w GROUP BY 1, 2)""") + "SELECT query_id, item_id, CAST(score + coalesce(p, 0) AS DOUBLE) AS score FROM keyword LEFT JOIN s USING (query_id, item_id)")
+def rule_base(spark, sf_dir):
+    """Hundreds of rules over all items: an item meets only the rules whose literals it holds."""
+    rows, q = items(spark, sf_dir), term_queries(spark, sf_dir)
+    pairs = R.keyword_search(q, rows, {"name": 100, "description": 30}, clicks="click_count").select("query_id", "item_id", "score")
+    return R.boost_by_rules(pairs, q, rows.select("id", "name", "category", "description"), *_rule_base(spark, sf_dir))
+
+
+_ASKERS = """CASE k % 4 WHEN 0 THEN 'gender=women_only' WHEN 1 THEN 'gender=men_only' END, CASE k % 3 WHEN 0 THEN 'age=youth' WHEN 1 THEN 'age=senior' ELSE 'age=adult' END,
+CASE WHEN k % 5 = 0 THEN 'urgency=immediate' END, CASE WHEN k % 7 = 0 THEN 'student=reddeer' WHEN k % 7 = 1 THEN 'student=other' END, CASE WHEN k % 2 = 0 THEN 'family=family_legal' END, CASE WHEN k % 6 = 1 THEN 'language=french' END"""
+_DEMOGRAPHIC = ", ".join("({})".format(", ".join("NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'" for v in (r[0], r[1], r[2], r[4], r[5], r[6], r[8]))) for r in D.rule_rows())
+
+
+@query(with_(TERMS, ITEMS, _KEYWORD, f"r(rule_id, ordinal, gate, pattern, unless, points, once) AS (VALUES {_DEMOGRAPHIC})", f"""a AS (SELECT query_id, unnest([{_ASKERS.replace("k %", "query_id %")}]) AS gate FROM terms),
+t AS (SELECT id, lower(concat_ws(' ', name, gender_restriction, age_group, service_format, location)) AS t FROM items),
+h AS (SELECT id, r.* FROM t JOIN r ON regexp_matches(t, pattern, 'i') AND NOT coalesce(regexp_matches(t, unless, 'i'), false)),
+f AS (SELECT k.query_id, k.item_id, arg_min(points, ordinal) AS p FROM keyword k JOIN a USING (query_id) JOIN h ON h.id = k.item_id AND h.gate = a.gate GROUP BY 1, 2, coalesce(once, rule_id)),
+s AS (SELECT query_id, item_id, sum(p) AS p FROM f GROUP BY 1, 2)""") + "SELECT query_id, item_id, CAST(score + coalesce(p, 0) AS DOUBLE) AS score FROM keyword LEFT JOIN s USING (query_id, item_id)")
+def demographic_boost(spark, sf_dir):
+    rows, q = items(spark, sf_dir), term_queries(spark, sf_dir)
+    pairs = R.keyword_search(q, rows, {"name": 100, "description": 30}, clicks="click_count").select("query_id", "item_id", "score")
+    asked = q.withColumn("k", F.col("query_id")).withColumn("_a", F.explode(F.expr(f"filter(array({_ASKERS}), a -> a IS NOT NULL)")))
+    attributes = asked.select("query_id", F.split("_a", "=")[0].alias("attribute"), F.split("_a", "=")[1].alias("value"))
+    return D.boost_demographics(pairs, attributes, rows.select("id", "name", "gender_restriction", "age_group", "service_format", "location"))
+
+
 # -- query texts -----------------------------------------------------------------------------------------------------------
 
 _FAMILIES = "lower(trim(whole))"
