@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from lodestar.llm.common import mix64, release, staged
 
 #: Bytes hashed at once and bytes of texts sorted as one run; a longer text is a block, or a run, of its own.
-BLOCK_BYTES, RUN_BYTES = 1_000_000, 8_000_000
+BLOCK_BYTES, RUN_BYTES = 250_000, 4_000_000
 #: Anchors of the corpus for each part of the sort order.
 PART_ANCHORS = 100_000
 #: Rows of an Arrow batch while texts go through tasks, and the setting that bounds them.
@@ -241,7 +241,7 @@ def _by_order(rights: list[bytes], lefts: list[bytes], shared: list[int], length
     order = sorted(range(n), key=turned.__getitem__)
     left_shared = np.array([0, *(common_prefix(turned[a], turned[b]) for a, b in zip(order, order[1:], strict=False))])
     right_shared, least, most = np.array(shared) - skip, np.full(n, 1 << 30), np.full(n, -1)
-    step = max(1, 2_000_000 // n)
+    step = max(1, 250_000 // n)
     for o in range(int(low.min()), int(high.max()) + 1, step):
         depths = np.arange(o, min(o + step, int(high.max()) + 1))
         right = np.cumsum(right_shared[:, None] < length - depths, axis=0)
