@@ -90,7 +90,8 @@ def anchors(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int,
     own = place[starts]
     head = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1))))
     tail = np.append(head[1:], len(starts)) - 1
-    return h[own[head]].view(np.int64), own[head], starts[head], starts[tail]
+    # The least hashes are all small: they are mixed once more, as what follows is cut by their leading bits.
+    return mix64(h[own[head]] + np.uint64(1)).view(np.int64), own[head], starts[head], starts[tail]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int, size: int, packed: bool = True) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
