@@ -417,12 +417,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int | None = None, hot
     bits = max(1, (total // PART_ANCHORS).bit_length())
 
     each = texts.select("_row", F.inline(F.arrays_zip("hash", "at", "lo", "hi")))
-    often = each.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1")
+    # A table of its own, so that the join may split a hot hash among tasks.
+    often = staged(each.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1"), "suffix-often")
     columns = ("hash", "at", "lo", "hi", "hot")
     shared = each.join(often, "hash").withColumn("hot", F.col("_n") > hot_group).groupBy("_row").agg(F.collect_list(F.struct(*columns)).alias("_s"))
     asked = texts.select("_row", "_text").join(shared, "_row").select("_row", "_text", *(F.col(f"_s.{c}").alias(c) for c in columns))
     runs = _staged(asked.mapInArrow(_make_runs(length, bits), RUNS), "suffix-runs")
 
+    release(often)
     sent = runs.where("part >= 0").select("run", "part", "prefix", "size", "bytes", "left_size", "left_bytes", "times")
     told = sent.groupBy("part").applyInPandas(_merge(length, k), "run string, part int, entry array<int>, least array<int>, most array<int>")
     if not runs.where("part < 0").isEmpty():
