@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestar.common import any_of, blank, blank_array, contains, matches, top, true, upsert
 from lodestar.functions.text import digits, first_filled, format_phone, slug
-from lodestar.operators.joins import _prefixes as prefixes
 
 MERGED = ("description", "eligibility", "contact", "phone", "email", "address", "website_url", "hours_of_operation")
 SKIP, CREATE, ENRICH = "skipped", "created", "enriched"
@@ -30,30 +29,68 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2.0 * (len(a) - v.bit_count()) / (len(a) + len(b)) if a or b else 1.0
 
 
+def most_edits(n: Column, m: Column, threshold: float) -> Column:
+    """Most inserted and deleted characters between names of n and m characters whose ratio is above the threshold.
+
+    The ratio is 1 - edits / (n + m); edits are odd or even as n + m is. Negative if no such names can pass.
+    """
+    k = F.ceil((1.0 - threshold) * (n + m) - 1e-9).cast("int") - 1
+    return k - F.pmod(k - n - m, F.lit(2))
+
+
+def _segment_size(m: Column, edits: Column) -> Column:
+    """The longest of 3, 2 and 1 characters by which a name of m characters has more segments than edits can break."""
+    return F.when(F.floor(m / 3) > edits, 3).when(F.floor(m / 2) > edits, 2).otherwise(1)
+
+
+def name_candidates(wanted: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """(_a, _b) of wanted (_a) and known names (_b) that can have a ratio above the threshold; none that has is left out.
+
+    A known name is cut into segments. An edit breaks one at most, so of k + 1 segments one stands unchanged in a wanted name that is
+    k edits away, shifted by no more than the edits that the lengths leave on either side. Names meet by the k + 1 rarest segments of the
+    known name, in length classes. Pairs that share too few characters, each counted as often as it occurs in both, are dropped.
+    """
+    width = 8
+    a = wanted.select("_a", F.length("_a").alias("_n"))
+    b = names.select("_b", F.length("_b").alias("_m"))
+    cut = b.withColumn("_g", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.col("_m") / F.col("_g")).cast("int") - 1, F.lit(0)))))
+    # Only the segment sizes that a partner of some length can call for; so single characters serve short names only.
+    share = threshold / (2.0 - threshold)
+    most, fewest = (most_edits(n, F.col("_m"), threshold) for n in (F.floor(F.col("_m") / share + 1e-9), F.ceil(share * F.col("_m") - 1e-9)))
+    needed = (F.col("_g") >= _segment_size(F.col("_m"), most + 1)) & (F.col("_g") <= _segment_size(F.col("_m"), fewest - 1))
+    cut = cut.where(needed & ((F.col("_i") + 1) * F.col("_g") <= F.col("_m"))).withColumn("_at", F.col("_i") * F.col("_g")).withColumn("_s", F.substr("_b", F.col("_at") + 1, F.col("_g")))
+    counts = cut.groupBy("_s").agg(F.count("*").alias("_df"))
+    rarity = Window.partitionBy("_b", "_g").orderBy("_df", "_s", "_at")
+    cut = cut.join(counts, "_s").withColumn("_k", F.row_number().over(rarity) - 1).withColumn("_class", F.floor(F.col("_m") / width))
+    # A name that can pass has between ``share`` and 1 / ``share`` times as many characters.
+    low, high = F.ceil(share * F.col("_n") - 1e-9), F.floor(F.col("_n") / share + 1e-9)
+    runs = a.withColumn("_g", F.explode(F.array(*map(F.lit, (1, 2, 3))))).where("_n >= _g").withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - F.col("_g"))))
+    runs = runs.withColumn("_s", F.substr("_a", F.col("_q") + 1, F.col("_g"))).withColumn("_class", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    n, m = F.col("x._n"), F.col("y._m")
+    edits, shift = most_edits(n, m, threshold), F.col("x._q") - F.col("y._at")
+    fits = (edits >= 0) & (F.col("y._k") <= edits) & (F.col("y._g") == _segment_size(m, edits)) & (F.abs(shift) + F.abs(n - m - shift) <= edits)
+    x, y = runs.alias("x"), cut.alias("y")
+    pairs = x.join(y, (F.col("x._s") == F.col("y._s")) & (F.col("x._class") == F.col("y._class")) & fits).select("_a", "_b").distinct()
+    chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))
+    own, other = chars("_a"), chars("_b")
+    both = F.aggregate(F.array_distinct(own), F.lit(0), lambda t, c: t + F.least(F.size(F.filter(own, lambda z: z == c)), F.size(F.filter(other, lambda z: z == c))))
+    n, m = F.length("_a"), F.length("_b")
+    return pairs.where(n + m - 2 * both <= most_edits(n, m, threshold))
+
+
 def match_entities(raw: DataFrame, items: DataFrame, threshold: float = 0.85, key: str = "id") -> DataFrame:
     """(raw_id, item_id, similarity): exact service id, else the active item with the most similar name above the threshold.
 
-    The best match wins, then the least id. Equal names are joined. The others are compared if they can pass: a common subsequence is
-    no longer than what both names share of their numbered characters (the first "a", the second "a" and so on), so names above the
-    threshold share one of the rarest of these and lie in a band of lengths. No pair above the threshold is left out.
+    The best match wins, then the least id. Equal names are joined; the others meet through the index of segments (name_candidates) and
+    are verified by their longest common subsequence. No pair above the threshold is left out.
     """
     live = items.where(true(F.col("is_active")))
     exact = raw.where(~blank("service_id")).join(live.select("service_id", F.col(key).alias("item_id")), "service_id").groupBy("raw_id").agg(F.min("item_id").alias("item_id")).withColumn("similarity", F.lit(1.0))
     rest = raw.join(exact.select("raw_id"), "raw_id", "left_anti").select("raw_id", F.lower(F.trim("name")).alias("_n")).where(~blank("_n"))
     own = live.select(F.col(key).alias("item_id"), F.lower(F.trim("name")).alias("_m")).where(~blank("_m")).groupBy("_m").agg(F.min("item_id").alias("item_id"))
     same = rest.join(own.withColumnRenamed("_m", "_n"), "_n").select("raw_id", "item_id", F.lit(1.0).alias("similarity"))
-    wanted = rest.select("_n").distinct().join(own.select(F.col("_m").alias("_n")), "_n", "left_anti")
-
-    def numbered(name: str) -> Column:
-        chars = F.regexp_extract_all(name, F.lit("(?s)(.)"), F.lit(1))
-        return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c))))
-
-    jaccard = threshold / (2 - threshold)
-    names = wanted.select(F.col("_n").alias("_id"), numbered("_n").alias("_t")), own.select(F.col("_m").alias("_id"), numbered("_m").alias("_t"))
-    counts = names[0].unionByName(names[1]).select(F.explode("_t").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    x, y = (prefixes(n, jaccard, counts).select("g", "_id", "_n") for n in names)
-    x = x.select("g", F.col("_id").alias("_a"), F.explode(F.sequence(F.ceil(jaccard * F.col("_n") - 1e-9).cast("int"), F.floor(F.col("_n") / jaccard + 1e-9).cast("int"))).alias("_n"))
-    pairs = x.join(y.withColumnRenamed("_id", "_m"), ["g", "_n"]).select("_a", "_m").distinct()
+    wanted = rest.select(F.col("_n").alias("_a")).distinct().join(own.select(F.col("_m").alias("_a")), "_a", "left_anti")
+    pairs = name_candidates(wanted, own.select(F.col("_m").alias("_b")), threshold).select("_a", F.col("_b").alias("_m"))
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -463,7 +463,13 @@ def intake_facts(spark, sf_dir):
     return PG.extract_intake(pages, [("id", r"\bid\b")]).select("page_id", "walk_in", "needs_referral", F.size("steps").alias("n_steps"))
 
 
-@query(None)
+_LCS = """list_reduce(list_prepend(list_transform(range(0, length(b) + 1), lambda z: 0), list_transform(string_split(a, ''), lambda c: [ord(c)])),
+  lambda r, c: list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [j])), lambda acc, j: list_append(acc, greatest(acc[-1], r[j[1] + 1], r[j[1]] + CASE WHEN ord(b[j[1]]) = c[1] THEN 1 ELSE 0 END))))[-1]"""
+
+
+@query(with_(TERMS, ITEMS) + f"""SELECT raw_id, item_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY similarity DESC, item_id) AS k FROM (
+  SELECT query_id AS raw_id, item_id, 2.0::DOUBLE * {_LCS} / (length(a) + length(b)) AS similarity FROM (SELECT query_id, lower(trim(text || 's')) AS a FROM terms) CROSS JOIN (SELECT lower(trim(name)) AS b, min(id) AS item_id FROM items WHERE is_active GROUP BY 1))
+  WHERE similarity > 0.85) WHERE k = 1""")
 def matched_entities(spark, sf_dir):
     rows = items(spark, sf_dir).select("id", "name", "is_active", F.lit(None).cast("string").alias("service_id"))
     raw = term_queries(spark, sf_dir).select(F.col("query_id").alias("raw_id"), F.lit(None).cast("string").alias("service_id"), F.concat("text", F.lit("s")).alias("name"))
