@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import curate as E, demographics as D, evaluate as V, joins as J, pages as P, querylog as Q, ranking as R, vectors as X
-from lodestar.plans.tables import ITEMS, TERMS, TURNS, items, now, queries_table, query, table, term_queries, with_
+from lodestar.operators import completion as C, curate as E, demographics as D, evaluate as V, joins as J, pages as P, querylog as Q, ranking as R, vectors as X
+from lodestar.plans.tables import ITEMS, LOG, TERMS, TURNS, items, log, now, queries_table, query, table, term_queries, with_
 
 # -- vectors ---------------------------------------------------------------------------------------------------------------
 
@@ -219,6 +219,20 @@ def suggestions(spark, sf_dir):
     return R.suggest(prefixes, entries, {"category": 2, "item": 4})
 
 
+@query(with_(LOG, ITEMS, TURNS) + """, e AS (SELECT 'popular' AS kind, query AS text, count(*)::DOUBLE AS weight FROM log WHERE trim(query) <> '' GROUP BY 2
+  UNION ALL SELECT 'item', name, sum(click_count)::DOUBLE FROM items WHERE trim(name) <> '' GROUP BY 2 UNION ALL SELECT 'turn', text, count(*)::DOUBLE FROM turns WHERE trim(text) <> '' GROUP BY 2),
+p AS (SELECT DISTINCT lower(substr(text, 1, 4)) AS p FROM e), m AS (SELECT p AS prefix_id, kind, text, weight, row_number() OVER (PARTITION BY p, kind ORDER BY weight DESC, text) AS k FROM p JOIN e ON starts_with(lower(trim(text, ' ')), ltrim(p, ' ')) WHERE length(ltrim(p, ' ')) >= 2 AND length(trim(text, ' ')) >= 2)
+SELECT prefix_id, kind, text, weight, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prefix_id ORDER BY CASE kind WHEN 'popular' THEN 0 WHEN 'item' THEN 1 ELSE 2 END, weight DESC, text) AS rank FROM m WHERE k <= CASE kind WHEN 'popular' THEN 3 WHEN 'item' THEN 4 ELSE 2 END) WHERE rank <= 7""".replace("\n, e", ", e", 1))
+def completions(spark, sf_dir):
+    """Popular searches, items and beginnings of turns for the first four characters of each of them."""
+    popular = log(spark, sf_dir).groupBy("query").agg(F.count("*").alias("weight")).select(F.lit("popular").alias("kind"), F.col("query").alias("text"), F.col("weight").cast("double"))
+    named = items(spark, sf_dir).select(F.lit("item").alias("kind"), F.col("name").alias("text"), F.col("click_count").cast("double").alias("weight"))
+    said = queries_table(spark, sf_dir).select(F.lit("turn").alias("kind"), "text", F.lit(1.0).alias("weight"))
+    entries = C.prefix_entries(popular.unionByName(named).unionByName(said))
+    asked = entries.select(F.lower(F.substring("text", 1, 4)).alias("text")).distinct().select(F.col("text").alias("prefix_id"), "text")
+    return C.complete(asked, entries, C.prefix_table(entries, 4), {"popular": 3, "item": 4, "turn": 2})
+
+
 _RULES = [("r1", 1, "g1", None, "brass|tin", None, 30.0, False), ("r2", 2, "g1", "name", "re", "^x", 10.0, False), ("r3", 3, "g2", "category", "#1", None, -5.0, False)]
 _GATES = [("g1", "a", None, ["g3"], None), ("g2", "e", None, None, ["g1"]), ("g3", "zz", None, None, None)]
 
