@@ -127,3 +127,29 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
 }
+
+#: The rows of op13_periodic_runs. Kept out of ORACLES as its null longs become floats in one pandas frame and not in the other; a test runs it.
+PERIODIC_RUNS_SQL = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), h AS (
+  SELECT doc_id, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), tab
+), g AS (
+  SELECT r, d.doc_id, w, len(w) AS n, h, h // 10 % len(w) AS a, 1 + (len(w) - h // 10 % len(w)) // (3 + h // 10 % 8) AS p
+  FROM (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents) d LEFT JOIN h USING (doc_id)
+), d AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM g
+), t AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS x FROM d
+), m AS (SELECT b.r, b.i, b.i - a.i AS q FROM t a JOIN t b ON a.r = b.r AND a.x = b.x AND a.i < b.i AND 4 * (b.i - a.i) <= b.n
+), s AS (
+  SELECT r, q, min(i) - q AS s, max(i) + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM m) GROUP BY r, q, k HAVING max(i) + 1 - min(i) + q >= greatest(6, 4 * q)
+), u AS (SELECT r, s, e - s AS n, q FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.r = x.r AND y.q < x.q AND y.s <= x.s AND y.e >= x.e)
+), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, s, q) AS k FROM u) WHERE k = 1
+), listed AS (SELECT r, count(*) AS c, string_agg(concat(s, ',', n, ',', q, chr(10)), '' ORDER BY s, q) AS l FROM u GROUP BY 1
+), kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS x FROM t WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.r = t.r AND t.i >= u.s + u.q AND t.i < u.s + u.n) GROUP BY 1
+)
+SELECT doc_id, coalesce(c, 0) AS n_runs, best.s AS start, best.n AS length, best.q AS period, 1000 * best.n // best.q AS exponent_milli, sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""

@@ -12,7 +12,8 @@ import tokenizers
 from pyspark.sql import functions as F
 
 from lodestar.llm import periodic_runs as P, suffix_dedup as S, token_alignment as T
-from lodestar.llm.queries import TOKENIZERS
+from lodestar.llm.queries import PERIODIC_RUNS_SQL, QUERIES, TOKENIZERS
+from tests.compare import connection
 
 FILES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 
@@ -74,6 +75,12 @@ def test_runs_of_odd_rows(spark):
     assert P.periodic_runs(docs.limit(0)).count() == 0
 
 
+def test_runs_of_the_table_equal_sql(spark, sf_dir):
+    got = [tuple(r) for r in QUERIES["op13_periodic_runs"](spark, sf_dir).collect()]
+    want = connection(sf_dir).execute(PERIODIC_RUNS_SQL).fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(r[1] for r in got) > 5
+
+
 # -- suffix de-duplication -----------------------------------------------------------------------------------------------------
 
 
