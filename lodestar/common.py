@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -89,3 +90,20 @@ def upsert(base: DataFrame, delta: DataFrame, keys: list[str], merge: dict[str,
             c = F.col(f"b.{name}")
         out.append(c.alias(name))
     return joined.select(*out)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, which only local mode may leave so, a new one."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder: what follows starts from there, also when executors are lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.common import blank, contains
 from lodestar.functions.geo import format_distance
 from lodestar.functions.text import format_phone, org_key, truncate_text
-from lodestar.operators import analytics as A, curate as E, filters as FL, joins as J, projections as P
+from lodestar.operators import analytics as A, curate as E, duplicates as U, filters as FL, joins as J, projections as P
 from lodestar.plans.tables import ITEMS, LOG, items, log, now, query, table, with_
 from lodestar.sources import writers as S
 
@@ -210,6 +210,43 @@ def duplicate_groups(spark, sf_dir):
     return a.unionByName(b).withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
+#: Keys of documents: the whole text without case, its letters and digits, the set of its words, and its first eight words.
+def _doc_rules():
+    words = F.split(F.lower(F.trim("text")), r"\s+")
+    return [
+        ("text", F.lower(F.trim("text"))),
+        ("letters", F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")),
+        ("words", F.array_join(F.array_sort(F.array_distinct(words)), " ")),
+        ("opening", J.name_head("text", 8)),
+    ]
+
+
+_CLASSES = r"""w AS (SELECT doc_id AS id, lower(trim(text, ' ')) AS t, regexp_split_to_array(lower(trim(text, ' ')), '[ \t\n\x0B\f\r]+') AS ws FROM documents),
+k AS (SELECT id, rule, md5(v) AS k FROM (
+  SELECT id, 'text' AS rule, t AS v FROM w UNION ALL SELECT id, 'letters', regexp_replace(t, '[^a-z0-9]', '', 'g') FROM w
+  UNION ALL SELECT id, 'words', array_to_string(list_sort(list_distinct(ws)), ' ') FROM w UNION ALL SELECT id, 'opening', array_to_string(ws[1:8], ' ') FROM w) WHERE trim(v, ' ') <> ''),
+c AS (SELECT rule, k, count(*) AS n, min(id) AS rep FROM k GROUP BY 1, 2 HAVING count(*) > 1),
+m AS (SELECT id, rule, rep FROM k JOIN c USING (rule, k)), e AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM m x JOIN m y USING (id)),
+g AS (SELECT rep, min(b) AS class_id FROM (WITH RECURSIVE r AS (SELECT DISTINCT a AS rep, a AS b FROM e UNION SELECT r.rep, e.b FROM r JOIN e ON r.b = e.a) SELECT * FROM r) GROUP BY 1),
+members AS (SELECT id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, min(class_id) AS class_id FROM m JOIN g USING (rep) GROUP BY 1)"""
+
+
+def _members(spark, sf_dir):
+    keys = U.duplicate_keys(table(spark, sf_dir, "documents"), _doc_rules(), "doc_id")
+    return U.duplicate_members(keys, U.duplicate_classes(keys))
+
+
+@query(with_(_CLASSES) + "SELECT * FROM members")
+def duplicate_members(spark, sf_dir):
+    return _members(spark, sf_dir).withColumn("rules", F.array_join("rules", ","))
+
+
+@query(with_(_CLASSES) + """SELECT class_id, count(*) AS n, first(id ORDER BY n_chars DESC NULLS LAST, id) AS representative, count(*) FILTER (contains(rules, 'text')) AS n_text, count(*) FILTER (contains(rules, 'letters')) AS n_letters,
+  count(*) FILTER (contains(rules, 'words')) AS n_words, count(*) FILTER (contains(rules, 'opening')) AS n_opening FROM members JOIN documents ON doc_id = id GROUP BY 1""")
+def duplicate_class_summary(spark, sf_dir):
+    return U.duplicate_summary(_members(spark, sf_dir), table(spark, sf_dir, "documents"), F.col("n_chars"), [r for r, _ in _doc_rules()], "doc_id")
+
+
 _DEDUPE = """r AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY score DESC, last_updated DESC NULLS LAST, id) AS k, first_value(id) OVER (PARTITION BY lower(trim(name)) ORDER BY score DESC, last_updated DESC NULLS LAST, id) AS best
   FROM (SELECT *, (CASE WHEN phone IS NOT NULL THEN 5 ELSE 0 END) + click_count AS score FROM items))"""
 
