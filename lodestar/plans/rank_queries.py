@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lodestar.common import shared_folder
 from lodestar.functions import text as T
-from lodestar.operators import completion as C, curate as E, demographics as D, evaluate as V, joins as J, pages as P, querylog as Q, ranking as R, vectors as X
+from lodestar.operators import completion as C, curate as E, demographics as D, evaluate as V, joins as J, pages as P, querylog as Q, ranking as R, textindex as I, vectors as X
 from lodestar.plans.tables import ITEMS, LOG, TERMS, TURNS, items, log, now, queries_table, query, table, term_queries, with_
 
 # -- vectors ---------------------------------------------------------------------------------------------------------------
@@ -157,6 +160,21 @@ def _grams_sql(text: str) -> str:
     return f"list_distinct(flatten(list_transform({_words_sql(text, 1)}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
 
+@query(f"""WITH w AS (SELECT id, {_stem_sql("w")} AS term FROM (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, unnest({_words_sql("regexp_replace(text, '[0-9]+', '#', 'g')", 2)}) AS w FROM conversations WHERE role IS DISTINCT FROM 'system'))
+SELECT term, count(DISTINCT id) AS df, count(*) AS occurrences FROM w GROUP BY 1""")
+def refreshed_index(spark, sf_dir):
+    """The index of all turns after two batches: system turns go (merged), then numbers are masked (read from the delta)."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), "role", "text")
+    said = turns.where(~F.col("role").eqNullSafe("system"))
+    masked = said.withColumn("text", F.regexp_replace("text", "[0-9]+", "#"))
+    index = I.TextIndex(f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", {"text": "B"}, key_type="string")
+    index.build(turns)
+    index.refresh(*I.changed_items(turns, said, ["text"]), 1)
+    index.compact(spark)
+    index.refresh(*I.changed_items(said, masked, ["text"]), 2)
+    return index.frequencies(spark).join(index.postings(spark).groupBy("term").agg(F.sum("tf").alias("occurrences")), "term", "full_outer")
+
+
 _RELEVANCE = f"""tagged AS (SELECT *, lower(category) AS tags, {_grams_sql("name || ' ' || category || ' ' || description")} AS t FROM items),
 asked AS (SELECT *, lower(trim(text)) AS q, lower(trim(location)) AS place, {_grams_sql("text")} AS u FROM terms),
 qt AS (SELECT DISTINCT query_id, {_stem_sql("w")} AS term FROM (SELECT query_id, unnest({_words_sql("text", 2)}) AS w FROM terms)),
