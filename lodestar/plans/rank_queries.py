@@ -167,7 +167,7 @@ def refreshed_index(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), "role", "text")
     said = turns.where(~F.col("role").eqNullSafe("system"))
     masked = said.withColumn("text", F.regexp_replace("text", "[0-9]+", "#"))
-    index = I.TextIndex(f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", {"text": "B"}, key_type="string")
+    index = I.TextIndex(f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", {"text": "B"}, key_type="string", buckets=16)
     index.build(turns)
     index.refresh(*I.changed_items(turns, said, ["text"]), 1)
     index.compact(spark)

@@ -72,9 +72,9 @@ class BucketedTable:
             return False
         before = self.places(spark)
         path = f"{self.root}/rows/v={version}"
-        # Rows of a bucket come from a few tasks, not from all and not from one.
+        # Spark packs small buckets into one task and cuts large ones, so there are about as many files as buckets or target sizes.
         placed = rows.select(*spark.createDataFrame([], self.schema).columns).withColumn("_bucket", self.bucket())
-        placed.repartition("_bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(4))).write.mode("overwrite").partitionBy("_bucket").parquet(path)
+        placed.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
         replaced = set(range(self.buckets) if touched is None else touched)
         after = {b: v for b, v in before.items() if b not in replaced} | dict.fromkeys(_bucket_folders(spark, path), version)
         spark.createDataFrame(list(after.items()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={version}")
