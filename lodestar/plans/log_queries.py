@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from lodestar.common import shared_folder
 from lodestar.operators import analytics as A
-from lodestar.plans.tables import ITEMS, LOG, items, log, now, query, with_
+from lodestar.plans.tables import ITEMS, LOG, items, log, log_stream, now, query, with_
+from lodestar.streaming import jobs
 
 LOCAL = "timezone('America/Edmonton', timezone('UTC', ts))"
 VISITOR = f"CAST(CAST({LOCAL} AS DATE) AS VARCHAR) || '|' || left(coalesce(user_agent, ''), 100)"
@@ -147,6 +151,31 @@ def reformulations(spark, sf_dir):
     return A.reformulations(log(spark, sf_dir), 1800).select("id", "session", "ts", "reformulated")
 
 
+@query(with_(LOG, FAILED) + "SELECT * FROM failed")
+def stored_failed_queries(spark, sf_dir):
+    """The stream of events, added batch by batch to a stored table."""
+    root = f"{shared_folder(spark)}/failed-{uuid.uuid4().hex}"
+    stored = jobs.failed_query_table(f"{root}/table", 16)
+    add = jobs.store_failed_queries(stored)
+    log_stream(spark, sf_dir).writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination()
+    seen = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")]
+    return jobs.read_failed_queries(stored, spark).select("query", "location", "n", *seen)
+
+
+@query(with_(LOG) + """SELECT * FROM (SELECT id, CAST(session AS VARCHAR) AS session, ts, coalesce(epoch_us(lead(ts) OVER (PARTITION BY session ORDER BY ts, id)) - epoch_us(ts) <= 30 * 60000000, false) AS reformulated FROM log)
+  WHERE epoch_us(ts) + 30 * 60000000 < (SELECT epoch_ms(max(ts)) * 1000 - 3600000000 FROM log)""")
+def streamed_reformulations(spark, sf_dir):
+    """The stream of events; what the last watermark has not passed is not judged yet."""
+    root = f"{shared_folder(spark)}/reformulated-{uuid.uuid4().hex}"
+    before = spark.conf.get(jobs.STORE)
+    try:
+        judged = jobs.stream_reformulations(log_stream(spark, sf_dir), 1800, "1 hour")
+        judged.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start(f"{root}/rows").awaitTermination()
+    finally:
+        spark.conf.set(jobs.STORE, before)
+    return spark.read.schema(jobs.REFORMULATED).parquet(f"{root}/rows").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query(with_(LOG) + """, s AS (SELECT id, session, ts, result_count FROM log WHERE item IS NULL), c AS (SELECT session, ts, position FROM log WHERE item IS NOT NULL),
 m AS (SELECT c.session, c.ts, c.position, (SELECT arg_max(s.id, (s.ts, s.id)) FROM s WHERE s.session = c.session AND s.ts <= c.ts) AS of_ FROM c),
 g AS (SELECT of_, count(*) AS n, arg_min(position, (ts, position)) AS p FROM m WHERE of_ IS NOT NULL GROUP BY 1)

@@ -33,7 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search and click log from ``events``."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return _log_of(table(spark, sf_dir, "events"))
+
+
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log as a stream, with ts as a point in time. A stream takes a folder or a pattern, and the table may be one file."""
+    schema = table(spark, sf_dir, "events").schema
+    return _log_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _log_of(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return e.selectExpr(
         "event_id AS id", "ts", "concat(event_type, '-', cast(user_id % 7 AS string)) AS query", "k AS shown",
         "CASE WHEN event_type = 'click' THEN k END AS item", "user_id AS session",

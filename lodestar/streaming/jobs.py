@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestar.sources.bucketed import BucketedTable
+
 LATE = "1 hour"
 TZ = "America/Edmonton"
 
@@ -111,6 +114,101 @@ def stream_attribution(events: DataFrame, late: str = LATE, idle_days: int = 90)
     return rows.groupBy("session").applyInPandasWithState(_attribute(idle_days * DAY_MS), ATTRIBUTED, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+REFORMULATED = "session string, id long, ts timestamp, reformulated boolean"
+
+
+class _Reformulations(StatefulProcessor):
+    """Keeps a session's searches until the watermark has passed the time in which another one would count."""
+
+    def __init__(self, seconds: int) -> None:
+        self.gap = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, id long")
+
+    def _wake(self, first: int) -> None:
+        """One timer per session: when its earliest search can be judged."""
+        due, timers = (first + self.gap) // 1000 + 1, list(self.handle.listTimers())
+        if not timers or due < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(due)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(int(a), int(i)) for pdf in rows for a, i in zip(pdf["at"], pdf["id"], strict=True)]
+        if key[0] is None:
+            yield self._frame(None, [(a, i, False) for a, i in new])
+            return
+        self.waiting.appendList(new)
+        self._wake(min(new)[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted(tuple(e) for e in self.waiting.get())
+        nexts = [e[0] for e in events[1:]] + [None]
+        judged = [(a, i, n is not None and n - a <= self.gap) for (a, i), n in zip(events, nexts, strict=True) if a + self.gap < mark]
+        if rest := events[len(judged):]:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+        yield self._frame(key[0], judged)
+
+    @staticmethod
+    def _frame(session, judged) -> pd.DataFrame:
+        out = pd.DataFrame(judged, columns=["at", "id", "reformulated"])
+        ts = pd.to_datetime(out["at"].astype("int64"), unit="us", utc=True)
+        return pd.DataFrame({"session": pd.Series([session] * len(out), dtype=object), "id": out["id"].astype("int64"), "ts": ts, "reformulated": out["reformulated"].astype(bool)})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_reformulations(events: DataFrame, seconds: int = 30, late: str = LATE) -> DataFrame:
+    """Each search once, with whether its session searched again within some seconds; for the append output mode.
+
+    A search is judged when the watermark passes its time and those seconds, so files may come in any order within ``late``. State holds
+    the searches of the last ``late`` and ``seconds`` only; a session that falls silent has none. Searches without a session are judged
+    at once, as not reformulated. Sets the RocksDB state store, which timers and lists need.
+    """
+    events.sparkSession.conf.set(STORE, ROCKSDB)
+    rows = events.withWatermark("ts", late).select(F.col("session").cast("string").alias("session"), "ts", F.col("id").cast("long").alias("id"), F.unix_micros("ts").alias("at"))
+    # Events without a session are spread by their ids instead of meeting in one group.
+    keyed = rows.withColumn("_k", F.when(F.col("session").isNull(), F.pmod("id", F.lit(1024))))
+    return keyed.groupBy("session", "_k").transformWithStateInPandas(_Reformulations(seconds), REFORMULATED, "Append", "EventTime")
+
+
+def failed_query_table(root: str, buckets: int = 64) -> BucketedTable:
+    return BucketedTable(root, ("query", "location"), "query string, location string, n long, first_seen timestamp, last_seen timestamp", buckets)
+
+
+def store_failed_queries(table: BucketedTable, keep_days: int | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds a batch's failed queries to a stored table, as often as the batch is replayed only once.
+
+    Keys whose last failure lies ``keep_days`` before the batch's newest event go when their bucket is next written. State is the table:
+    the stream itself keeps none, and a batch reads and writes its own buckets only.
+    """
+    how = {"n": F.coalesce("b.n", F.lit(0)) + F.col("d.n"), "first_seen": F.least("b.first_seen", "d.first_seen"), "last_seen": F.greatest("b.last_seen", "d.last_seen")}
+
+    def run(df: DataFrame, batch_id: int) -> None:
+        keep: Column | None = None
+        if keep_days is not None:
+            newest = df.agg(F.max("ts")).first()[0]
+            keep = None if newest is None else F.col("last_seen") >= F.lit(newest) - F.make_dt_interval(F.lit(keep_days))
+        table.merge(stream_failed_queries(df), batch_id, how, keep)
+
+    return run
+
+
+def read_failed_queries(table: BucketedTable, spark: SparkSession, since: Column | None = None) -> DataFrame:
+    """The stored counts; ``since`` also hides old keys whose bucket was not written again."""
+    rows = table.read(spark)
+    return rows if since is None else rows.where(F.col("last_seen") >= since)
+
+
 def upsert_batches(apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that skips empty batches."""
 

@@ -117,6 +117,58 @@ def test_attribution_stream_equals_batch(spark, stream, rows, tmp_path, order):
     assert rows(got, "id", "n", "p") == rows(want, "id", F.col("click_count"), "first_click_position")
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
+def test_reformulation_stream_equals_batch(spark, stream, rows, tmp_path, order):
+    s, b = stream
+    last = b.limit(1).withColumn("ts", F.lit(dt.datetime(2026, 1, 1)).cast("timestamp")).withColumn("session", F.lit(-1).cast(b.schema["session"].dataType))
+    last.coalesce(1).write.parquet(str(tmp_path / "last"))
+    shutil.copy(next((tmp_path / "last").glob("*.parquet")), tmp_path / "flat" / "3.parquet")
+    for place, k in enumerate((*order, 3)):
+        os.utime(tmp_path / "flat" / f"{k}.parquet", (1_700_000_000 + 10 * place,) * 2)
+    # Some events lose their session; these are never reformulated.
+    s, b = (x.withColumn("session", F.when(F.col("id") % 9 != 4, F.col("session"))) for x in (s, b))
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        seen = run(spark, jobs.stream_reformulations(s, 1800, "40 days"), "append", "reformulated" + "".join(map(str, order)))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    got = seen.where("coalesce(session, '') <> '-1'")
+    want = A.reformulations(b, 1800).withColumn("session", F.col("session").cast("string"))
+    cols = ("id", "session", F.unix_micros(F.col("ts").cast("timestamp")), "reformulated")
+    assert want.where("reformulated").count() and rows(got, *cols) == rows(want, *cols)
+
+
+def test_stored_failed_queries_survive_replays(spark, stream, rows, tmp_path):
+    s, b = stream
+    table = jobs.failed_query_table(str(tmp_path / "failed"), 8)
+    add, batches = jobs.store_failed_queries(table), {}
+
+    def write(df, batch_id):
+        batches[batch_id] = df.collect()
+        add(df, batch_id)
+        add(df, batch_id)
+
+    q = s.writeStream.foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    cols = ("query", "location", "n", "first_seen", "last_seen")
+    assert len(batches) == 3
+    assert rows(jobs.read_failed_queries(table, spark), *cols) == rows(A.failed_queries(b), *cols)
+    # A restart that sends the last batches again changes nothing.
+    for i in (1, 2):
+        add(spark.createDataFrame(batches[i], s.schema), i)
+    assert rows(jobs.read_failed_queries(table, spark), *cols) == rows(A.failed_queries(b), *cols)
+
+
+def test_stored_failed_queries_expire(spark, tmp_path):
+    schema = "ts timestamp, query string, location string, result_count long"
+    table = jobs.failed_query_table(str(tmp_path / "old"), 1)
+    add = jobs.store_failed_queries(table, 30)
+    add(spark.createDataFrame([(dt.datetime(2024, 1, 1), "a", None, 0), (dt.datetime(2024, 1, 1), "ok", None, 3)], schema), 0)
+    add(spark.createDataFrame([(dt.datetime(2024, 3, 1), "b", "x", 0)], schema), 1)
+    add(spark.createDataFrame([], schema), 2)
+    assert [(r["query"], r.location, r.n) for r in jobs.read_failed_queries(table, spark).collect()] == [("b", "x", 1)]
+
+
 def test_duplicates_and_sessions(spark, stream):
     s, b = stream
     assert run(spark, jobs.dedupe_events(s.unionByName(s)), "append", "unique").count() == b.count()
