@@ -148,7 +148,7 @@ def extract_contacts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def description_lines(text: str | Column, least: int = 50, most: int = 5, junk: str = r"(?i)(cookie|copyright|all rights reserved|privacy policy|javascript|skip to)") -> Column:
     """The first lines of more than ``least`` characters that say something."""
-    lines = F.transform(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"\n+"), F.trim)
+    lines = F.transform(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"\n+"), lambda x: F.trim(x))
     return F.slice(F.filter(lines, lambda x: (F.length(x) > least) & ~x.rlike(junk)), 1, most)
 
 
@@ -190,7 +190,7 @@ def extract_intake(df: DataFrame, documents: list[tuple[str, str]], text: str =
         "appointment": matches(c, r"\b(by )?appointment\b"),
         "online": matches(c, r"\b(apply|register|intake|application) online\b|\bonline (application|intake|form)\b"),
         "documents": F.array_compact(F.array(*(F.when(matches(c, p), n) for n, p in documents))),
-        "steps": F.when(F.size(ol_items) > 0, F.col(ol_items)).otherwise(F.transform(said, F.trim)),
+        "steps": F.when(F.size(ol_items) > 0, F.col(ol_items)).otherwise(F.transform(said, lambda x: F.trim(x))),
     })
 
 

@@ -75,3 +75,12 @@ def test_listings_need_a_name(spark, rows):
     html = '<div class="x"><h3>One</h3><p>in Calgary</p></div><div class="x"><h3></h3></div>'
     got = P.extract_listings(spark.createDataFrame([(1, html)], "page_id int, html string"), {"block": r'<div class="x">(.*?)</div>', "name": "<h3>(.*?)</h3>", "description": "<p>(.*?)</p>"}, ["Calgary"], "Alberta")
     assert rows(got, "page_id", "name", "description", "location") == [(1, "One", "in Calgary", "Calgary")]
+
+
+def test_lines_keep_digits_at_their_ends(spark):
+    line = " 0123 Main Street " + "has rooms and meals for everyone who asks " * 2
+    got = spark.createDataFrame([("\n".join([line] * 3),)], "text string").select(P.description_lines("text")).first()[0]
+    assert got == [line.strip(" ")] * 3
+    said = spark.createDataFrame([(1, "First, call 555 1230. Then bring form 10. Next go to room 21.", [])], "page_id int, text string, ol array<string>")
+    steps = P.extract_intake(said, [], ol_items="ol").first()["steps"]
+    assert [s.split()[-1] for s in steps] == ["1230", "10", "21"]
