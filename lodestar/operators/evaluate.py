@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestar.common import true
+from lodestar.common import edges_of, true
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ def score_results(cases: DataFrame, results: DataFrame, weights: Weights = DEFAU
     inc = F.filter(want["must_include"], lambda w: ~F.exists(tops, lambda t: F.contains(t, F.lower(w))))
     exc = F.filter(want["must_exclude"], lambda w: F.exists(names, lambda t: F.contains(t, F.lower(w))))
     hit = F.size(want["expected_patterns"]) == 0
-    hit = hit | F.exists(want["expected_patterns"], lambda p: F.exists(tops, lambda t: F.regexp_like(t, F.concat(F.lit("(?iu)"), p))))
+    hit = hit | F.exists(want["expected_patterns"], lambda p: F.exists(tops, lambda t: F.regexp_like(t, F.concat(F.lit("(?iu)"), edges_of(p)))))
     label = F.col("got_label").eqNullSafe(F.col("label"))
     filled = F.size(F.coalesce("_all", e)) > 0
     score = (
@@ -97,7 +97,7 @@ def check_results(cases: DataFrame, results: DataFrame) -> DataFrame:
     e = F.array().cast("array<string>")
 
     def found(texts: str) -> Column:
-        return F.exists(F.coalesce("expected_patterns", e), lambda p: F.exists(F.coalesce(texts, e), lambda t: F.regexp_like(t, F.concat(F.lit("(?iu)"), p))))
+        return F.exists(F.coalesce("expected_patterns", e), lambda p: F.exists(F.coalesce(texts, e), lambda t: F.regexp_like(t, F.concat(F.lit("(?iu)"), edges_of(p)))))
 
     bad = F.exists(F.coalesce("must_exclude", e), lambda w: F.exists(F.coalesce("_a", e), lambda t: F.contains(t, F.lower(w))))
     return j.select("query_id", F.when(bad, "fail").when(found("_a"), "pass").when(found("_b"), "warning").otherwise("fail").alias("verdict"))

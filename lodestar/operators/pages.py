@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestar.common import contains, matches, true
+from lodestar.common import contains, edges, matches, true
 from lodestar.operators.rules import match_rules
 
 PARSED = "title string, headings array<string>, text string, links array<struct<href:string,text:string,context:string,in_nav:boolean>>, ol_items array<string>"
@@ -134,7 +134,7 @@ def extract_contacts(df: DataFrame, text: str = "text") -> DataFrame:
     c = F.coalesce(F.col(text), F.lit(""))
 
     def found(pattern: str) -> Column:
-        return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))))
+        return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(edges(pattern)), F.lit(0))))
 
     emails = F.transform(found(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lower)
     emails = F.filter(F.array_sort(F.array_distinct(emails)), lambda e: ~e.rlike(r"(?i)(example\.|\.png$|\.jpg$|sentry|noreply|no-reply)"))
@@ -184,7 +184,7 @@ def extract_intake(df: DataFrame, documents: list[tuple[str, str]], text: str =
     own = matches(c, r"\bself[- ]refer\w*")
     said = F.regexp_extract_all(c, F.lit(r"(?i)(?:\bstep\s*\d+\s*[:.)-]\s*|(?<!\d)\d\.\s+|\b(?:first|then|next|finally),?\s+)([^.\n]{5,200})"), F.lit(1))
     return df.withColumns({
-        "phones": F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\(?\b\d{3}\)?[-. ]\d{3}[-.]\d{4}\b"), F.lit(0))), 1, most),
+        "phones": F.slice(F.array_distinct(F.regexp_extract_all(c, F.lit(edges(r"\(?\b\d{3}\)?[-. ]\d{3}[-.]\d{4}\b")), F.lit(0))), 1, most),
         "needs_referral": matches(c, r"\breferral\b") & ~own & ~matches(c, r"\bno referral\b"),
         "walk_in": matches(c, r"\b(walk|drop)[- ]?in\b"),
         "appointment": matches(c, r"\b(by )?appointment\b"),

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestar.common import true
+from lodestar.common import edges, true
 
 MAX_RULES = 100_000
 
@@ -127,7 +127,7 @@ def match_rules(df: DataFrame, key: str, subjects: dict[str | None, Column], rul
     out, asked_for = None, {r["_field"] for r in listed}
     for name, subject in [s for s in subjects.items() if s[0] in asked_for] or list(subjects.items())[:1]:
         own = [r for r in listed if r["_field"] == name]
-        table = df.sparkSession.createDataFrame([(k, r[0], r["_pattern"], r["_unless"]) for k, r in enumerate(own)], f"_k int, {rule_key} {rules.schema[rule_key].dataType.simpleString()}, _pattern string, _unless string")
+        table = df.sparkSession.createDataFrame([(k, r[0], edges(r["_pattern"]), r["_unless"] and edges(r["_unless"])) for k, r in enumerate(own)], f"_k int, {rule_key} {rules.schema[rule_key].dataType.simpleString()}, _pattern string, _unless string")
         asked = df.select(key, subject.alias("_text")).withColumn("_k", F.explode(_candidates([r["_pattern"] for r in own])("_text")))
         flags = lambda c: F.concat(F.lit("(?iu)"), F.col(c))
         hit = F.regexp_like("_text", flags("_pattern")) & ~true(F.regexp_like("_text", flags("_unless")))
