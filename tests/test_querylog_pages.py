@@ -84,3 +84,16 @@ def test_lines_keep_digits_at_their_ends(spark):
     said = spark.createDataFrame([(1, "First, call 555 1230. Then bring form 10. Next go to room 21.", [])], "page_id int, text string, ol array<string>")
     steps = P.extract_intake(said, [], ol_items="ol").first()["steps"]
     assert [s.split()[-1] for s in steps] == ["1230", "10", "21"]
+
+
+def test_words_end_at_letters_that_are_not_ascii(spark, rows):
+    q = queries(spark, "éthe", "theé", "thé the", "other", "lathe")
+    assert rows(q.select("query_id", Q.first_label("text", [("english", r"\bthe\b")]).alias("x")), "query_id", "x") == [(1, "english"), (2, "english"), (3, "english"), (4, None), (5, None)]
+    patterns = spark.createDataFrame([("a", "the", r"\bthe\b", 1.0, None), ("a", "slash", r"x\\b", 1.0, None)], "label string, sub_label string, pattern string, points double, requires string")
+    assert rows(Q.score_labels(q, patterns), "query_id") == [(1,), (2,), (3,)]
+    labels = q.select("query_id", F.lit("a").alias("label"))
+    assert rows(Q.sub_labels(q, labels, patterns.withColumnRenamed("label", "parent")), "query_id") == [(1,), (2,), (3,)]
+
+
+def test_negatives_beside_other_letters(spark, rows):
+    assert rows(queries(spark, "énot pets", "cannot wait").select("query_id", Q.negative_terms("text").alias("n")), "query_id", "n") == [(1, ["pets"]), (2, [])]
