@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestar.common import top
 
-#: Rows of one piece of items and of one block of queries.
+#: Rows of one piece of items and of one block of queries, and the scores that a task holds at a time.
 PIECE_ROWS, BLOCK_ROWS = 20_000, 2_000
+SCORES = 500_000
 #: Rows that centres are fitted on, the most centres, and queries that the number of probes is measured on.
 SAMPLE_ROWS, MAX_CELLS, SAMPLE_QUERIES = 20_000, 1024, 64
 
@@ -50,6 +51,18 @@ def best_of(scores: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, n
     return np.nonzero(keep & (scores > threshold))
 
 
+def best_pairs(queries: pd.DataFrame, rows: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
+    """(query_id, item_id, score) of the n best items of each query, from vectors _v; SCORES scores at a time."""
+    rows = rows.sort_values("item_id", kind="stable")
+    asked_ids, item_ids, q, i = queries["query_id"].to_numpy(), rows["item_id"].to_numpy(), _matrix(queries["_v"]), _matrix(rows["_v"]).T
+    step, parts = max(1, SCORES // len(rows)), []
+    for k in range(0, len(q), step):
+        scores = np.round(q[k : k + step] @ i, 6)
+        r, c = best_of(scores, n, threshold)
+        parts.append(pd.DataFrame({"query_id": asked_ids[k + r], "item_id": item_ids[c], "score": scores[r, c]}))
+    return pd.concat(parts, ignore_index=True)
+
+
 def _meet(asked: DataFrame, items: DataFrame, keys: list[str], n: int, threshold: float) -> DataFrame:
     """Best n of each group of queries (query_id, _v) and items (item_id, _v), then the best of all groups."""
     kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((asked, "query_id"), (items, "item_id"))]
@@ -57,10 +70,7 @@ def _meet(asked: DataFrame, items: DataFrame, keys: list[str], n: int, threshold
     def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        rows = rows.sort_values("item_id", kind="stable")
-        scores = np.round(_matrix(queries["_v"]) @ _matrix(rows["_v"]).T, 6)
-        r, c = best_of(scores, n, threshold)
-        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[r], "item_id": rows["item_id"].to_numpy()[c], "score": scores[r, c]})
+        return best_pairs(queries, rows, n, threshold)
 
     found = asked.groupBy(*keys).cogroup(items.groupBy(*keys)).applyInPandas(best, ", ".join([*kinds, "score double"]))
     return top(found, ["query_id"], [F.desc("score"), F.col("item_id")], n)

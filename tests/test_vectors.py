@@ -1,6 +1,9 @@
 """Vector search in blocks and through cells, against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +77,21 @@ def test_no_nested_loop_and_empty_tables(vectors):
     assert X.exact_search(q, none).count() == 0 and X.exact_search(q.limit(0), frame).count() == 0
     centres = X.fit_centres(none)
     assert X.index_search(q, X.VectorIndex.build(none, centres), X.probes_for(q, X.VectorIndex.build(none, centres))).count() == 0
+
+
+def test_memory_of_a_task_does_not_grow_with_its_queries():
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"item_id": np.arange(20_000), "_v": list(rng.normal(size=(20_000, 16)))})
+
+    def peak(n):
+        queries = rows.head(n).rename(columns={"item_id": "query_id"})
+        tracemalloc.start()
+        found = X.best_pairs(queries, rows, 5, 0.1)
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, size
+
+    few, small = peak(100)
+    many, large = peak(2_000)
+    assert large < small + 8e6 and many.query("query_id < 100").equals(few)
+    assert (many.groupby("query_id").size() == 5).all() and len(many) == 10_000
