@@ -138,6 +138,28 @@ def test_reformulation_stream_equals_batch(spark, stream, rows, tmp_path, order)
     assert want.where("reformulated").count() and rows(got, *cols) == rows(want, *cols)
 
 
+def test_reformulation_state_grows_with_buckets_not_with_sessions(spark, rows, tmp_path):
+    # 600 sessions search at 0, 10 and 100 s; half of them have a search again within 20 s. A last event passes them all.
+    start = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp")
+    base = spark.range(600).select(F.col("id").alias("session"), F.explode(F.array(F.lit(0), F.when(F.col("id") % 2 == 0, 10).otherwise(50), F.lit(100))).alias("at"))
+    b = base.select((F.col("session") * 1000 + F.col("at")).alias("id"), "session", F.timestamp_seconds(F.unix_seconds(start) + F.col("at")).alias("ts"))
+    b.coalesce(1).write.parquet(str(tmp_path / "all"))
+    spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit(-1).cast("long").alias("session"), F.lit(dt.datetime(2025, 1, 1)).cast("timestamp").alias("ts")).write.mode("append").parquet(str(tmp_path / "all"))
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        judged = jobs.stream_reformulations(spark.readStream.schema(b.schema).parquet(str(tmp_path / "all")), 20, "1 hour", buckets=5)
+        q = judged.writeStream.format("memory").queryName("bucketed").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    held = max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"])
+    assert 0 < held <= 30
+    want = A.reformulations(b, 20).withColumn("session", F.col("session").cast("string"))
+    assert want.where("reformulated").count() == 300
+    cols = ("id", "session", F.unix_micros("ts"), "reformulated")
+    assert rows(spark.table("bucketed"), *cols) == rows(want, *cols)
+
+
 def test_stored_failed_queries_survive_replays(spark, stream, rows, tmp_path):
     s, b = stream
     table = jobs.failed_query_table(str(tmp_path / "failed"), 8)
