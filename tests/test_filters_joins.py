@@ -124,3 +124,20 @@ def test_pairs_of_candidates_and_warnings_are_not_gathered(spark, rows):
     assert rows(warned, "request_id", "item_id", "reason") == [(1, 0, "phone"), (1, 1, "phone"), (1, 2, "phone"), (1, 3, "name"), (1, 4, "name")]
     for df in (got, warned):
         assert df._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_copies_of_one_name_pair_up_in_many_tasks(spark):
+    # 1200 rows of one name, 300 of one like it, one far from both, and a row without an id.
+    names = F.when(F.col("id") < 1200, " Red bolt").when(F.col("id") < 1500, "red bolts").otherwise("zebra")
+    df = spark.range(1501).select("id", names.alias("name")).unionByName(spark.createDataFrame([(None, "RED BOLTS")], "id long, name string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = J.similar_pairs(df, "name", 0.6)
+        shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        seen = got.groupBy("similarity").agg(F.count("*").alias("n"), F.count_distinct("a", "b").alias("d"), F.count_if(F.col("a") > F.col("b")).alias("wrong")).orderBy("similarity").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Without an id a row still meets other names, as in SQL, but no copy of its own.
+    assert [(r.n, r.d, r.wrong) for r in seen] == [(1200 * 301, 1200 * 301, 0), (1200 * 1199 // 2 + 300 * 299 // 2,) * 2 + (0,)]
+    assert max(shares) < 0.6 * sum(shares)
