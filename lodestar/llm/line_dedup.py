@@ -55,7 +55,11 @@ def _table(counts: DataFrame, bits: int, value: Column, kind: str, label: str) -
 
 def _rarity(texts: DataFrame, bits: int) -> DataFrame:
     words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).agg(F.count("*").alias("n"))
+    # Eight neighbouring slots are counted in one row, so that a task's table of counts stays small.
+    slot = F.col("slot")
+    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot")).groupBy(F.shiftright(slot, 3).alias("high"))
+    counts = counts.agg(F.array(*(F.count_if(slot.bitwiseAND(F.lit(7)) == i) for i in range(8))).alias("n"))
+    counts = counts.select(F.shiftleft("high", 3).alias("high"), F.posexplode("n").alias("low", "n")).select((F.col("high") + F.col("low")).alias("slot"), "n")
     value = F.coalesce(F.least(F.lit(127), F.floor(F.log2(F.col("n") + 1.0) * 3)), F.lit(0)).cast("long")
     return _table(counts, bits, F.shiftleft(value, 55), "long", "line-rarity")
 
@@ -164,19 +168,37 @@ def _hub_pairs(sets: DataFrame, threshold: float, hot: int, rounds: int) -> Data
     return found.select("set_x", "set_y")
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double")) + 1e-9).cast("int")
+
+
+def _postings(marked: DataFrame, threshold: float, side: str) -> DataFrame:
+    """(key, set, PARITY, place) of the prefix words of sets (set, n, PARITY, open, prefix): x is the smaller set of a pair, y the larger.
+
+    A key is a word and a class of sizes, the doubling that the smaller set is in. The smaller set needs a shorter prefix, as the
+    larger one has at least as many words; the larger set is in all classes of partners that its word's position allows.
+    """
+    n, p, both = F.col("n"), F.col("p"), (1 + threshold) / threshold
+    if side == "x":
+        short = n - F.ceil(n * (2 / both) - 1e-9).cast("int") + 1
+        post = marked.select("set", "n", *PARITY, "open", _size_class(n).alias("class"), F.posexplode(F.slice("prefix", 1, short)).alias("p", "word"))
+    else:
+        classes = F.sequence(_size_class(F.ceil(n * threshold - 1e-9)), _size_class(n))
+        post = marked.select("set", "n", *PARITY, "open", "prefix", F.explode(classes).alias("class")).select("set", "n", *PARITY, "open", "class", F.posexplode("prefix").alias("p", "word"))
+        post = post.where(F.floor((n - p) * both + 1e-9) - n >= F.pow(F.lit(2.0), F.col("class")))
+    place = F.shiftleft(n.cast("long"), 32).bitwiseOR(F.shiftleft(p, 1).cast("long")).bitwiseOR(F.col("open").cast("long"))
+    return post.select(F.hash("word", "class").alias("key"), *(F.col(c).alias(f"{c}_{side}") for c in ("set", *PARITY)), place.alias(f"place_{side}"))
+
+
 def _prefix_pairs(sets: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """(set_x, set_y) of sets that share a prefix word and pass the filters; y or both are open."""
+    """(set_x, set_y) of sets that share a prefix word and pass the filters, x not larger than y; one or both are open."""
     marked = sets.join(settled.withColumn("_settled", F.lit(1)), "set", "left").withColumn("open", F.col("_settled").isNull())
-    post = marked.select("set", "n", *PARITY, "open", F.posexplode("prefix").alias("p", "word"))
-    # One frame stands on both sides, so that its shuffle is written once; a pair of two open sets counts in one order only.
-    post = post.select("word", "set", *PARITY, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft("p", 1).cast("long")).bitwiseOR(F.col("open").cast("long")).alias("place"))
     place = lambda k: F.col(f"place_{k}")
-    sides = {k: post.select("word", *(F.col(c).alias(f"{c}_{k}") for c in ("set", *PARITY, "place"))) for k in "xy"}
     parts = {f"{name}_{k}": value for k in "xy" for name, value in (("n", F.shiftright(place(k), 32)), ("p", F.shiftright(place(k).bitwiseAND(F.lit(0xFFFFFFFF)), 1)))}
-    is_open = {k: place(k).bitwiseAND(F.lit(1)) for k in "xy"}
-    # Each part speaks of both sides: one that speaks of y alone would be pushed below the shuffle, which then is no longer shared.
-    once = (is_open["y"] > is_open["x"]) | ((is_open["x"] + is_open["y"] == 2) & (F.col("set_x") < F.col("set_y")))
-    return sides["x"].join(sides["y"], "word").where(once).withColumns(parts).where(_fits(threshold, True)).select("set_x", "set_y")
+    some_open = place("x").bitwiseOR(place("y")).bitwiseAND(F.lit(1)) == 1
+    pairs = _postings(marked, threshold, "x").join(_postings(marked, threshold, "y"), "key").where(some_open).withColumns(parts)
+    once = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("set_x") < F.col("set_y")))
+    return pairs.where(once).where(_fits(threshold, True)).select("set_x", "set_y")
 
 
 def _later(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

@@ -244,6 +244,31 @@ def test_groups_of_variants_of_a_line(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, rarity_bits=8).collect()} == brute_lines(rows)
 
 
+def test_postings_meet_all_partners_and_few_others(spark):
+    sizes, t = range(4, 90), 0.8
+    prefix = {n: n - math.ceil(n * t - 1e-9) + 1 for n in sizes}
+    rows = [(n, n, 0, 0, 0, 0, True, [7] * prefix[n]) for n in sizes]
+    marked = spark.createDataFrame(rows, "set long, n int, bits long, bits_1 long, bits_2 long, bits_3 long, open boolean, prefix array<int>")
+    x, y = (line_dedup._postings(marked, t, k) for k in "xy")
+    met = {(r.set_x, (r.place_x & 0xFFFFFFFF) >> 1, r.set_y, (r.place_y & 0xFFFFFFFF) >> 1) for r in x.join(y, "key").collect()}
+    fit = {
+        (a, p, b, q)
+        for a in sizes for b in sizes if t * b - 1e-9 <= a <= b
+        for p in range(prefix[a]) for q in range(prefix[b]) if min(a - p, b - q) >= math.ceil((a + b) * t / (1 + t) - 1e-9)
+    }
+    assert fit <= met
+    assert not any(b >= 3 * a for a, _, b, _ in met) and len(met) < sum(prefix.values()) ** 2 / 3
+
+
+def test_rarity_counts_every_word(spark):
+    texts = spark.createDataFrame([("a b a\nc",), ("a  d " * 50,)], "text string")
+    got = line_dedup._rarity(texts, 6).first()[0]
+    words = [w for r in texts.collect() for w in r.text.replace("\n", " ").split(" ")]
+    slots = collections.Counter(r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select((F.xxhash64("w").bitwiseAND(F.lit(63))).alias("s")).collect())
+    # No word is in an empty slot, so what stands there is never read.
+    assert {i: got[i] >> 55 for i in slots} == {i: min(127, math.floor(math.log2(n + 1.0) * 3)) for i, n in slots.items()}
+
+
 def test_line_plan_is_native(docs):
     plan = line_dedup.dedup_lines(docs, rarity_bits=8)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
