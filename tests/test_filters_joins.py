@@ -158,3 +158,12 @@ def test_warnings_of_one_name_or_phone_come_from_many_tasks(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert seen == {"phone": (14 * 334,) * 2, "name": (40 * 1000 - 14 * 334,) * 2}
     assert all(max(n) < 0.8 * sum(n) for n in shares.values())
+
+
+def test_a_name_of_many_copies_is_cut_into_few_pieces(spark, monkeypatch):
+    copies = spark.range(20_000).select(F.lit("red bolt").alias("_v"), F.col("id").alias("_k"))
+    assert J._pieces(copies, "_v", "_k", "x").count() == J.PIECES  # each is shuffled with each other, so more would grow with the square
+    monkeypatch.setattr(J, "MOST_ROWS", 400)
+    assert J._pieces(copies, "_v", "_k", "x").count() == 50
+    got = J.similar_pairs(spark.range(2_000).select("id", F.lit("red bolt").alias("name")), "name", 0.6)
+    assert tuple(got.agg(F.count("*"), F.count_distinct("a", "b"), F.count_if(F.col("a") >= F.col("b"))).first()) == (2_000 * 1_999 // 2,) * 2 + (0,)
